@@ -75,3 +75,18 @@ def texts(batch: pa.RecordBatch, col: int = 1) -> list[bytes]:
 
 def strings(batch: pa.RecordBatch, col: int = 1) -> list[str]:
     return [x or "" for x in batch.column(col).to_pylist()]
+
+
+def hot_keys(left: DataFrame, key: str, per: int = 2000, least: int = 1000) -> DataFrame:
+    """Keys with over max(least, rows / per) rows: fewer than `per` of them, whatever the table."""
+    n = left.count()
+    return left.groupBy(key).count().where(F.col("count") > max(least, n // per)).select(key)
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows with one small row a key. Hot keys (fewer than 2,000, see hot_keys) are
+    joined by broadcast of their right rows, the rest by a shuffle, so no task gets a hot key whole."""
+    hot = left.sparkSession.createDataFrame(hot_keys(left, key).collect(), left.select(key).schema)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
+    return left.join(few, key).unionByName(rest)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontaminate, token_counts, url_filter
+from . import bpe_codec, decontaminate, license_scan, media, token_counts, url_filter
 from .common import ship_package
 
 
@@ -16,9 +16,11 @@ def _with_package(f):
 
 def queries() -> dict:
     found = {
+        "op1_media_columns": media.op1_media_columns,
         "op5_bpe_codec": bpe_codec.op5_bpe_codec,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_license_scan": license_scan.op9_license_scan,
         "op10_url_filter": url_filter.op10_url_filter,
     }
     return {name: _with_package(f) for name, f in found.items()}

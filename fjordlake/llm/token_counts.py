@@ -17,6 +17,7 @@ Defined cases: null and empty texts have no tokens; repeated rows are counted ro
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -112,20 +113,25 @@ class _Lengths(dict):
 _caches: dict[str, _Lengths] = {}
 
 
+def worker_cache(key: str, first, sp, most: int) -> _Lengths:
+    """One cache in a worker, kept from task to task of the same job."""
+    if key not in _caches:
+        _caches.clear()
+        _caches[key] = _Lengths(first.value, sp, most)
+    return _caches[key]
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col="text", limit: int = LIMIT, table_size: int = TABLE_SIZE, cache: int = CACHE) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row a document."""
     path, docs = path or model_path(), keyed_text(docs, id_col, text_col)
     sp, free = model(path)
     lengths = {r[0]: _Lengths({}, sp, 10)[r[0]] for r in frequent_pretokens(docs, table_size).collect()} if free else {}
     shared = docs.sparkSession.sparkContext.broadcast(lengths)
-    run_id = str(shared.id if hasattr(shared, "id") else id(shared)) + path
+    run_id = f"{uuid.uuid4()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, free = model(path)
-        if run_id not in _caches:
-            _caches.clear()
-            _caches[run_id] = _Lengths(shared.value, sp, cache)
-        get = _caches[run_id].__getitem__
+        get = worker_cache(run_id, shared, sp, cache).__getitem__
         for b in batches:
             got = b.column(1).to_pylist()
             size = [len(x.encode()) if x else 0 for x in got]
