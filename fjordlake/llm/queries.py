@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontaminate, license_scan, media, token_counts, toxicity, url_filter
+from . import bpe_codec, decontaminate, license_scan, media, near_dedup, token_counts, toxicity, url_filter
 from .common import ship_package
 
 
@@ -17,6 +17,7 @@ def _with_package(f):
 def queries() -> dict:
     found = {
         "op1_media_columns": media.op1_media_columns,
+        "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
         "op5_bpe_codec": bpe_codec.op5_bpe_codec,
         "op7_token_counts": token_counts.op7_token_counts,
