@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, decontaminate, license_scan, media, near_dedup, substring_dedup, token_counts, toxicity, url_filter
+from . import bpe_codec, decontaminate, license_scan, media, near_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from .common import ship_package
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op1_media_columns": media.op1_media_columns,
         "op2_near_dedup": near_dedup.op2_near_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_bpe_codec": bpe_codec.op5_bpe_codec,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_token_counts": token_counts.op7_token_counts,
