@@ -30,6 +30,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -253,8 +254,8 @@ class Codec:
             self._known[chunk] = got
         return got
 
-    def digest(self, text: str) -> tuple[int, str, str, bool]:
-        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text, restored)."""
+    def digest(self, text: str) -> tuple[int, str, str, bool, bytes]:
+        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text, restored, ids joined by a space)."""
         rows, known = [], self._known.get
         for part in self.special_re.split(text) if "<|" in text else (text,):
             if part in self.specials:
@@ -263,7 +264,7 @@ class Codec:
                 rows += [known(c) or self._chunk(c) for c in self.normal_chunks(part)]
         rows = [r for r in rows if r[0]]
         ids, decoded = b" ".join([r[1] for r in rows]), b" ".join([r[2] for r in rows])
-        return sum([r[0] for r in rows]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), all([r[3] for r in rows])
+        return sum([r[0] for r in rows]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), all([r[3] for r in rows]), ids
 
 
 _codecs: dict[str, Codec] = {}
@@ -303,19 +304,24 @@ def decode_ids(encoded: DataFrame, path: str | None = None, id_col="doc_id", ids
     return encoded.select(id_col, ids_col).mapInArrow(run, "doc_id long, decoded string, restored string")
 
 
-def digests(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, restored) of whole texts, by one pass that keeps
-    the transducer's results of recent chunks (bounded) and writes no ids."""
+def digests(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col="text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, restored) and with with_ids ids of whole texts, by one
+    pass that keeps the transducer's results of recent chunks (bounded)."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for batch, at in ((x, k) for x in batches for k in range(0, x.num_rows, 500)):
+            b = batch.slice(at, 500)
             rows = [c.digest(t or "") for t in b.column(1).to_pylist()]
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "restored"])
+            if with_ids:
+                flat = np.array(b" ".join([r[4] for r in rows if r[4]]).split(), np.int32)
+                ends = np.cumsum([0, *(r[0] for r in rows)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "restored", *["ids"] * with_ids])
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, restored boolean")
+    return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, restored boolean" + ", ids array<int>" * with_ids)
 
 
 def op5_bpe_codec(spark, sf_dir: str) -> DataFrame:

@@ -197,10 +197,8 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) and with with_text kept, one row a document."""
-    scratch = scratch or Scratch(docs.sparkSession, "substring")
-    docs = keyed_text(docs, id_col, text_col)
+def removal_starts(docs: DataFrame, window: int, rounds: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, starts): first words of the windows to remove, of documents that lose any."""
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     names = scratch.write(some.mapInArrow(_names(window, rounds), "name long, doc_id long"), "names")
     shared = names.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
@@ -213,6 +211,44 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     later = _later(found, least)
     starts = scratch.write(later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")), "starts")
     scratch.drop("windows", "least")
+    return starts
+
+
+def _kept_rows(window: int, at: int):
+    """Rows with, behind their columns, removal starts: the text at column `at` without the removed words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = []
+            for t, starts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if starts:
+                    w = _words(t.encode())
+                    mark = np.zeros(len(w) + 1, np.int64)
+                    np.add.at(mark, starts, 1)
+                    np.add.at(mark, np.array(starts) + window, -1)
+                    t = b" ".join([x for x, n in zip(w, np.cumsum(mark).tolist(), strict=False) if not n]).decode()
+                left.append(t)
+            cols = list(b.columns[:-1])
+            cols[at] = pa.array(left, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    return run
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
+    """docs with later repeats taken out of the text (the words left are joined by one space); a text that
+    loses nothing stays as it is, and so do all other columns and rows."""
+    scratch = scratch or Scratch(docs.sparkSession, "substring")
+    starts = removal_starts(keyed_text(docs, id_col, text_col), window, rounds, scratch).select(F.col("doc_id").alias("_repeat_id"), F.col("starts").alias("_repeat_starts"))
+    rows = docs.join(starts, docs[id_col].cast("long") == starts["_repeat_id"], "left").drop("_repeat_id")
+    return rows.mapInArrow(_kept_rows(window, docs.columns.index(text_col)), docs.schema)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) and with with_text kept, one row a document."""
+    scratch = scratch or Scratch(docs.sparkSession, "substring")
+    docs = keyed_text(docs, id_col, text_col)
+    starts = removal_starts(docs, window, rounds, scratch)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return docs.join(starts, "doc_id", "left").mapInArrow(_cut(window, with_text), schema)
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import keyed_text, strings, table
 
@@ -349,7 +350,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
     source = docs if with_row else keyed_text(docs, id_col, text_col)
     at = source.columns.index(text_col if with_row else "text")
     name = "_score" if with_row else "score"
-    schema = source.schema.add(name, "double") if with_row else "doc_id long, score double"
+    schema = StructType([*source.schema.fields, StructField(name, DoubleType())]) if with_row else "doc_id long, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feats = worker_features(key, shared.value) if both else None
