@@ -20,14 +20,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fjordlake.llm.bpe_codec import digests
-from fjordlake.llm.common import Scratch, ship_package, table
+from fjordlake.llm.common import Scratch, bound_batches, table
 from fjordlake.llm.decontaminate import contamination, judged
 from fjordlake.llm.near_dedup import near_duplicates
 from fjordlake.llm.substring_dedup import drop_repeats
 from fjordlake.llm.toxicity import THRESHOLD, is_held_out, score_toxicity
+from fjordlake.sources.shared import ship_package
 
 
 def toxicity(spark, docs, sf_dir):
+    bound_batches(spark)
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"), held_out=is_held_out(F.col("doc_id")), with_row=True)
     return scored.where(F.col("_score") < THRESHOLD).drop("_score")
 

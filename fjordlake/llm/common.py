@@ -3,35 +3,31 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (as long) and the text, under fixed names, whatever else the table holds."""
+    """Only the id (as long) and the text, under fixed names, whatever else the table holds. Arrow batches
+    are set to at most BATCH_ROWS texts, so that a worker holds a few MB of them at a time."""
+    bound_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set. Where it
-    isn't (a local session, as in tests), a temporary folder, removed when the driver ends."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got:
-        import shutil
-
-        got = tempfile.mkdtemp(prefix="fjordlake-")
-        atexit.register(shutil.rmtree, got, True)
-        spark.sparkContext.setCheckpointDir(got)
-    return got
+def bound_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
 class Scratch:
@@ -60,14 +56,6 @@ class Scratch:
             pass
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Python workers find this package by the driver's path too, e.g. under bench.py."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def texts(batch: pa.RecordBatch, col: int = 1) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in batch.column(col).cast(pa.binary()).to_pylist()]

@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, kept for up to a number of words."""
 
-    MOST = 300_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

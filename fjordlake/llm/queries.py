@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from ..sources.shared import ship_package
 from . import bpe_codec, decontaminate, license_scan, media, near_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
-from .common import ship_package
 
 
 def _with_package(f):
