@@ -11,7 +11,7 @@ sample's balance to that of all labelled rows.
 Training sample: at most `per_class` labelled documents of each class (in the order of a hash of their
 id), a fixed bound on what the driver holds. `labels` gives the classes and nothing else enters.
 
-Defined cases: null, empty and wordless texts score as one empty window; labels that are null or name
+Defined cases: null, empty and wordless texts score 0; labels that are null or name
 no document teach nothing, a document labelled twice counts as its higher label; without any label of
 one class the score is that class's absence (0.0 or 1.0 for all); repeated rows score alike.
 """
@@ -301,7 +301,7 @@ def score_texts(feats: Features, shift: float, got: list[str]) -> np.ndarray:
     idx, owner = windows(feats.index(flat), [len(d) for d in docs])
     most = np.full(len(docs), -np.inf)
     np.maximum.at(most, owner, logits(feats.p, feats.rows, idx))
-    return sigmoid(most + shift)
+    return np.where([len(d) > 0 for d in docs], sigmoid(most + shift), 0.0)
 
 
 def blocks(got: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
