@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": decontaminate.SQL, "op10_url_filter": url_filter.SQL}
+    return {"op2_near_dedup": near_dedup.SQL, "op6_substring_dedup": substring_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op10_url_filter": url_filter.SQL}

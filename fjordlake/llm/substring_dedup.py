@@ -264,3 +264,15 @@ def _later(found: DataFrame, least: DataFrame) -> DataFrame:
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i : i + 49] AS gram FROM d, unnest(range(1, len(w) - 48)) AS t(i) WHERE len(w) >= 50),
+m AS (SELECT gram, min(doc_id) AS lo FROM g GROUP BY gram),
+h AS (SELECT g.doc_id, g.i FROM g JOIN m ON g.gram = m.gram WHERE m.lo < g.doc_id),
+c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM h, unnest(range(i, i + 50)) AS t(p) GROUP BY doc_id),
+k AS (SELECT d.doc_id, p, w[p] AS word FROM d LEFT JOIN c USING (doc_id), unnest(range(1, len(w) + 1)) AS t(p) WHERE c.gone IS NULL OR NOT list_contains(c.gone, p)),
+s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(len(c.gone), 0)::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)"""
