@@ -9,13 +9,14 @@ document included). Sorting all suffixes of a corpus would compare mostly text t
    once in it (it stands twice where the text is periodic).
 2. Phrases. Equal segments (by 96 bits of hash) repeat in all their windows; one copy stands for all.
 3. Merged transforms. What is left are different segments of one name, about the ends of repeats. They
-   are dealt to buckets by name; each bucket's shards get a suffix order and its transform (the symbols
+   are dealt to buckets by name; each bucket's shards get a suffix order and its transform (the blocks
    before each suffix), and the shards are merged by refining the interleave: a stable sort of the
-   current interleave by preceding symbol gives the interleave by a longer prefix, two bytes a round,
+   current interleave by preceding symbol gives the interleave by a longer prefix, WIDTH bytes a round,
    without comparing suffixes across shards. The round in which a row comes to stand alone gives its
-   common prefix; intervals that still hold several rows after length/2 rounds are the repeats.
+   common prefix; intervals that still hold several rows at `length` bytes are the repeats.
 4. Names with over `hot` different segments (a passage that a good part of all documents quote) don't
-   fit a bucket: their windows are counted by hash instead, pre-aggregated, so no task holds them whole.
+   fit a bucket: blocks of their windows are counted by hash instead (a block's core, then its whole, then
+   single windows where the two disagree), pre-aggregated, so no task holds them whole.
 
 Defined cases: null and empty texts lose nothing; a repeated row is another document, so rows of at
 least `length` bytes that are equal lose everything; equal ids are told apart by their texts, null ids
@@ -36,7 +37,7 @@ from .common import Scratch, hot_keys, keyed_text, skew_join, table, texts
 from .near_dedup import mix
 from .substring_dedup import _blocks
 
-LENGTH, GRAM, HOT, BUCKET_BYTES, RUN = 200, 64, 2000, 1 << 20, 512
+LENGTH, GRAM, HOT, BUCKET_BYTES, RUN, START, WIDTH, STEP = 200, 64, 2000, 1 << 20, 512, 14, 31, 16
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _MOD = 1 << 64
 
@@ -87,10 +88,7 @@ def segments(docs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         return none, none, none, none, none, none.astype(np.int32), none.astype(bool)
     stop = np.cumsum(size)
     begin = stop - size
-    h, k = _letters(_BASES[0])[text], 1
-    while 2 * k <= gram:
-        h = mix(h[:-k] * np.uint64(pow(3, 2 * k, _MOD) | 1) + h[k:])
-        k *= 2
+    h, k = gram_hashes(text, gram), gram
     name = sliding_least(h, length - k + 1)
     owner = np.repeat(np.arange(len(docs)), size)[: len(name)]
     at = np.flatnonzero(np.arange(len(name)) + length <= stop[owner])
@@ -117,86 +115,95 @@ def segments(docs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
 
 
 class Shard:
-    """Rows (one a byte position, and one a text's end) of some texts in suffix order, by their first
-    `length` bytes; the transform holds the two bytes before each row, `before` the row they lead to."""
+    """Rows (one a byte position) of some texts in suffix order to START bytes. The merge refines the order
+    further, so a shard's own need not go deeper."""
 
-    def __init__(self, parts: list[bytes], length: int = LENGTH) -> None:
-        size = np.array([len(p) + 2 for p in parts], np.int64)  # two ends: one for each parity
+    def __init__(self, parts: list[bytes]) -> None:
+        size = np.array([len(p) for p in parts], np.int64)
         stop = np.cumsum(size)
-        begin = stop - size
-        code = np.zeros(int(size.sum()), np.int64)
-        for p, b in zip(parts, begin.tolist(), strict=True):
-            code[b : b + len(p)] = np.frombuffer(p, np.uint8)
-            code[b : b + len(p)] += 1
-        self.part = np.repeat(np.arange(len(parts)), size)
-        self.at = np.arange(len(code)) - begin[self.part]
-        left = size[self.part] - self.at  # to the text's end
-        rank, done = code.copy(), 1
-        while done < length:  # doubling: ranks by twice as many bytes
-            after = np.zeros(len(code), np.int64)
-            ok = np.flatnonzero(left > done)
-            after[ok] = rank[ok + done] + 1
-            rank = np.unique(rank * (int(after.max()) + 1) + after, return_inverse=True)[1].astype(np.int64)
-            done *= 2
-        order = np.argsort(rank, kind="stable")
-        row = np.empty(len(order), np.int64)
-        row[order] = np.arange(len(order))
-        pairs = code.copy()
-        pairs[:-1] = code[:-1] * 257 + code[1:]
-        pairs[left == 1] = 0
-        self.order = order
-        at = self.at[order]
-        self.transform = np.where(at >= 2, pairs[np.maximum(order - 2, 0)], -1)  # -1: nothing before
-        self.before = np.where(at >= 2, row[np.maximum(order - 2, 0)], -1)
-        self.ends = row[np.flatnonzero(left <= 2)]  # rows that no symbol leads to
-        self.end_code = code[left <= 2] * 2 + (left[left <= 2] == 2)
-        self.part, self.at = self.part[order], at
+        n = int(stop[-1])
+        self.code = np.zeros(n + START, np.int64)
+        text = np.frombuffer(b"".join(parts), np.uint8)
+        self.roll = Rolling(text)
+        self.code[:n] = text
+        self.code[:n] += 1  # 0: past the end
+        part = np.repeat(np.arange(len(parts), dtype=np.int32), size)
+        at = (np.arange(n) - (stop - size)[part]).astype(np.int32)
+        left = size[part] - at
+        keys = [self.string(n, k * START // 2, START // 2, left) for k in (0, 1)]
+        self.order = np.lexsort((keys[1], keys[0]))
+        self.row = np.empty(n, np.int32)
+        self.row[self.order] = np.arange(n, dtype=np.int32)
+        self.keys, self.part, self.at = [k[self.order] for k in keys], part[self.order], at[self.order]
+
+    def string(self, n: int, skip: int, width: int, left: np.ndarray) -> np.ndarray:
+        """Each position's next `width` bytes behind `skip` as one number; what lies past its text's end is 0."""
+        out = np.zeros(n, np.int64)
+        for k in range(skip, skip + width):
+            out *= 257
+            out += np.where(left > k, self.code[k : k + n], 0)
+        return out
+
+    def transform(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The block of `width` bytes before each row, named by a hash, and the row it leads to (-1: none).
+        Blocks are the transform's symbols; any fixed order of them serves."""
+        back = np.maximum(self.order - width, 0)
+        return self.roll.of(back, np.minimum(back + width, len(back)))[0], np.where(self.at >= width, self.row[back], -1)
+
+
+def stable_order(rank: np.ndarray) -> np.ndarray:
+    """Stable order of numbers under 2**32, by 16 bits at a time (which are sorted by radix)."""
+    order = np.argsort((rank & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (rank >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
 def merge(shards: list[Shard], length: int = LENGTH) -> np.ndarray:
     """For each row of the shards (end to end): the bytes it shares with the row beside it in the merged
-    transform, in steps of two up to `length`.
-
-    Round h interleaves the rows by their first h bytes: a stable sort of the last interleave by preceding
-    symbol, each row replaced by the row that the symbol leads to. Borders separate different prefixes. A
-    row alone between borders is settled, and so are all rows before it in its text (their prefix holds
-    its prefix), so it leaves the interleave; what stays are the intervals that still repeat."""
-    off = np.cumsum([0, *(len(s.order) for s in shards)])
-    symbol = np.concatenate([s.transform for s in shards])
-    before = np.concatenate([np.where(s.before >= 0, s.before + o, -1) for s, o in zip(shards, off, strict=False)])
-    ends = np.concatenate([s.ends + o for s, o in zip(shards, off, strict=False)])
-    codes = np.concatenate([s.end_code for s in shards])
-    small = np.unique(symbol, return_inverse=True)[1]
-    if small.max(initial=0) < 1 << 16:
-        small = small.astype(np.uint16)  # sorted by radix
-    by = np.argsort(codes, kind="stable")
-    ends, codes = ends[by], codes[by]
-    end_block = np.cumsum(np.concatenate([[0], codes[1:] != codes[:-1]]))
-    rows, block = np.arange(off[-1]), np.zeros(off[-1], np.int64)
-    shared = np.zeros(off[-1], np.int64)
-    for h in range(2, length + 2, 2):
+    transform, in steps of WIDTH from START (0: fewer) up to `length`.
+
+    The first interleave merges the shards' orders. Each round then interleaves the rows by WIDTH bytes
+    more: a stable sort of the last interleave by preceding symbols, each row replaced by the row that its
+    symbol leads to. Borders separate different prefixes. A row alone between borders is settled, and so
+    are all rows before it in its text (their prefix holds its prefix), so it leaves the interleave; what
+    stays are the intervals that still repeat."""
+    off = np.cumsum([0, *(len(s.part) for s in shards)])
+    one, two = (np.concatenate([s.keys[k] for s in shards]) for k in (0, 1))
+    rows = np.lexsort((two, one))  # of runs in order: a merge
+    one, two = one[rows], two[rows]
+    border = np.ones(len(rows), np.int32)
+    border[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    block = np.cumsum(border, dtype=np.int32)
+    several = np.bincount(block)[block] > 1
+    rows, block = rows[several], block[several]
+    shared = np.zeros(off[-1], np.int32)
+    shared[rows] = START
+    h = width = START
+    while h < length and len(rows):
+        if width != min(WIDTH, length - h):
+            width = min(WIDTH, length - h)
+            both = [s.transform(width) for s in shards]
+            rank = np.unique(np.concatenate([x for x, _ in both]), return_inverse=True)[1].astype(np.uint32)
+            before = np.concatenate([np.where(x >= 0, x + o, -1) for (_, x), o in zip(both, off, strict=False)])
         led = before[rows] >= 0
         kept, inner = rows[led], block[led]
-        order = np.argsort(small[kept], kind="stable")
-        kept, inner = kept[order], inner[order]
-        sym = small[kept]
-        border = np.ones(len(kept), np.int64)
+        sym = rank[kept]
+        order = stable_order(sym)
+        kept, inner, sym = kept[order], inner[order], sym[order]
+        border = np.ones(len(kept), np.int32)
         border[1:] = (sym[1:] != sym[:-1]) | (inner[1:] != inner[:-1])
-        rows = np.concatenate([ends, before[kept]])
-        block = np.concatenate([end_block, end_block[-1] + np.cumsum(border)])
-        several = np.bincount(block)[block] > 1
-        several[: len(ends)] = True
+        block = np.cumsum(border, dtype=np.int32)
+        rows = before[kept]
+        several = np.bincount(block, minlength=1)[block] > 1
         rows, block = rows[several], block[several]
+        h += width
         shared[rows] = h
-        if len(rows) == len(ends):
-            break
-    shared[ends] = 0
     return shared
 
 
 def repeated(parts: list[bytes], windows: list[int], shards: int = 4, length: int = LENGTH) -> list[np.ndarray]:
     """For each text, which of its first `windows` starts begin a string that starts elsewhere, too."""
-    dealt = [Shard(parts[k::shards], length) for k in range(min(shards, len(parts)))]
+    dealt = [Shard(parts[k::shards]) for k in range(min(shards, len(parts)))]
     hit = merge(dealt, length) >= length
     part = np.concatenate([s.part * len(dealt) + k for k, s in enumerate(dealt)])
     at = np.concatenate([s.at for s in dealt])
@@ -253,15 +260,55 @@ def _bucket(length: int):
     return run
 
 
+def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of each string of `gram` bytes (a power of two), by doubling."""
+    h, k = _letters(_BASES[0])[text], 1
+    while 2 * k <= gram:
+        h = mix(h[:-k] * np.uint64(pow(3, 2 * k, _MOD) | 1) + h[k:])
+        k *= 2
+    return h
+
+
+def _stretches(length: int, gram: int):
+    """Of segments of hot names: blocks of up to STEP windows, by where the name first stands in a window
+    (equal windows are in equal blocks). Each block gives the hash of its core, which all its windows hold
+    (if that stands nowhere else, none repeats), and of the whole (if that stands elsewhere, all repeat)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[] for _ in range(9)]
+            for r in b.to_pylist():
+                text, at = np.frombuffer(r["bytes"], np.uint8), np.arange(r["n"])
+                stand = np.flatnonzero(gram_hashes(text, gram).view(np.int64) == r["name"])
+                q = stand[np.searchsorted(stand, at)]
+                key = q * length + (q - at) // STEP
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                count = np.diff(np.append(first, len(at)))
+                roll = Rolling(text)
+                last = q[first] - (q - at)[first] // STEP * STEP  # the block's last possible start
+                core = roll.of(last, last - STEP + 1 + length)
+                whole = roll.of(first, first + count + length - 1)
+                for col, x in zip(out, (np.full(len(first), r["doc_id"]), np.full(len(first), r["pos"]), first + r["pos"], count, *core, *whole, np.full(len(first), r["known"])), strict=True):
+                    col.append(x)
+            kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int64, np.int32, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *c]).astype(k)) for c, k in zip(out, kinds, strict=True)], names="doc_id seg pos n core core_chk h chk known".split())
+
+    return run
+
+
 def _hashes(length: int):
-    """Each window's hash, of segments of hot names."""
+    """Each window's hash, of blocks (pos, n, known) of segments: (doc_id, seg, bytes, wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            cols = [[np.zeros(0, k)] for k in (np.int64, np.int32, np.int64, np.int32, bool)]
             for r in b.to_pylist():
-                at = np.arange(r["n"])
-                h, check = Rolling(np.frombuffer(r["bytes"], np.uint8)).of(at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), pa.array(np.full(len(at), r["doc_id"])), pa.array((at + r["pos"]).astype(np.int32)), pa.array(np.full(len(at), r["known"]))], names="h chk doc_id pos known".split())
+                roll = Rolling(np.frombuffer(r["bytes"], np.uint8))
+                for w in r["wanted"]:
+                    at = np.arange(w["n"]) + w["pos"] - r["seg"]
+                    for col, x in zip(cols, (*roll.of(at, at + length), np.full(len(at), r["doc_id"]), (at + r["seg"]).astype(np.int32), np.full(len(at), w["known"])), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names="h chk doc_id pos known".split())
 
     return run
 
@@ -311,16 +358,33 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = parts.where("NOT wide").agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // bucket_bytes))
     merged = parts.where("NOT wide").dropDuplicates(["doc_id", "pos", "n", "name"]).groupBy(F.pmod(F.xxhash64("name"), F.lit(buckets)).alias("bucket")).applyInArrow(_bucket(length), "doc_id long, pos int, n int")
-    windows = parts.where("wide").mapInArrow(_hashes(length), "h long, chk int, doc_id long, pos int, known boolean")
-    windows = scratch.write(windows, "wide")
-    often = windows.groupBy("h", "chk").agg(F.count("*").alias("c")).where("c > 1").select("h", "chk")
-    wide = _matching(windows.where("NOT known").select("h", "chk", "doc_id", "pos"), often, ["h", "chk"]).select("doc_id", "pos", F.lit(1).alias("n"))
+    wide = _hot_repeats(parts.where("wide"), length, gram, scratch)
     spans = scratch.write(equal.unionByName(merged).unionByName(wide).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("found")), "spans")
-    scratch.drop("equal", "parts", "wide")
+    scratch.drop("equal", "parts", "wide", "blocks", "live", "wholes")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return docs.join(spans, "doc_id", "left").mapInArrow(_cut(length, with_text), schema)
 
 
+def _hot_repeats(parts: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, pos, n) of the windows that repeat in segments of hot names: whole blocks, then the single
+    windows of blocks whose core repeats while the whole doesn't (one copy of each whole beside them)."""
+    blocks = scratch.write(parts.mapInArrow(_stretches(length, gram), "doc_id long, seg int, pos int, n int, core long, core_chk int, h long, chk int, known boolean"), "blocks")
+    cores = blocks.groupBy(F.col("core").alias("h"), F.col("core_chk").alias("chk")).count().where("count > 1").select("h", "chk")
+    by_core = blocks.select("doc_id", "seg", "pos", "n", F.col("core").alias("h"), F.col("core_chk").alias("chk"), "known", F.struct("h", "chk").alias("whole"))
+    live = scratch.write(_matching(by_core, cores, ["h", "chk"]).select("doc_id", "seg", "pos", "n", "whole.h", "whole.chk", "known"), "live")
+    sizes = live.groupBy("h", "chk", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "seg", "pos")).alias("first"))
+    sizes = scratch.write(sizes, "wholes")
+    whole = _matching(live.where("NOT known"), sizes.where("c > 1").select("h", "chk", "n"), ["h", "chk", "n"]).select("doc_id", "pos", "n")
+    alone = _matching(live, sizes.where("c = 1").select("h", "chk", "n"), ["h", "chk", "n"]).select("doc_id", "seg", "pos", "n", "known")
+    one = sizes.where("c > 1").select("first.*", "n", F.lit(True).alias("known"))
+    wanted = alone.unionByName(one).groupBy("doc_id", "seg").agg(F.collect_list(F.struct("pos", "n", "known")).alias("wanted"))
+    rows = parts.select("doc_id", F.col("pos").alias("seg"), "bytes").dropDuplicates(["doc_id", "seg"]).join(wanted, ["doc_id", "seg"]).select("doc_id", "seg", "bytes", "wanted")
+    windows = scratch.write(rows.mapInArrow(_hashes(length), "h long, chk int, doc_id long, pos int, known boolean"), "wide")
+    often = windows.groupBy("h", "chk").agg(F.count("*").alias("c")).where("c > 1").select("h", "chk")
+    single = _matching(windows.where("NOT known").select("h", "chk", "doc_id", "pos"), often, ["h", "chk"]).select("doc_id", "pos", F.lit(1).alias("n"))
+    return whole.unionByName(single)
+
+
 def _matching(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is among the keys; hot ones are told by broadcast."""
     hot = rows.sparkSession.createDataFrame(hot_keys(rows, "h").collect(), rows.select("h").schema)

@@ -160,7 +160,7 @@ def test_suffix_dedup(docs):
 def test_merged_transforms():
     r = random.Random(3)
     for trial in range(20):
-        n = r.choice([6, 10, 20])
+        n = r.choice([16, 20, 30])
         parts = ["".join(r.choice("ab") for _ in range(r.randint(n, 60))).encode() for _ in range(r.randint(1, 9))]
         seen = Counter(p[i : i + n] for p in parts for i in range(len(p) - n + 1))
         got = suffix_dedup.repeated(parts, [len(p) - n + 1 for p in parts], 1 + trial % 4, n)
