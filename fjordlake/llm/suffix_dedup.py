@@ -94,9 +94,8 @@ def segments(docs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     at = np.flatnonzero(np.arange(len(name)) + length <= stop[owner])
     if not len(at):
         return none, none, none, none, none, none.astype(np.int32), none.astype(bool)
-    names = np.flatnonzero(h[length - k : len(name)] == ~sliding_least(~name, length - k + 1)) + length - k  # inner ones ...
-    edge = np.concatenate([np.arange(min(length - k, len(h))), np.arange(max(length - k, len(name)), len(h))])
-    names = np.unique(np.concatenate([names, edge]))  # ... and any near the ends, where fewer windows reach
+    past = np.zeros(length - k, name.dtype)  # near the ends fewer windows reach
+    names = np.flatnonzero(h == ~sliding_least(~np.concatenate([past, name, past]), length - k + 1))  # least of some window
     twin = (h[names[1:]] == h[names[:-1]]) & (np.diff(names) <= length - k + 1)
     twins, pairs = names[:-1][twin], names[1:][twin]
     name, owner = name[at], owner[at]

@@ -157,6 +157,22 @@ def test_suffix_dedup(docs):
         same(map(tuple, suffix_dedup.suffix_dedup(unique, hot=hot).collect()), want)
 
 
+def test_repeats_inside_one_text(spark):
+    """A window that repeats is named twice or twin, wherever its text lies in its block."""
+    r = random.Random(1)
+    say = lambda n: bytes(r.choice(b"abcdefgh ") for _ in range(n))
+    for period in range(2, 138):
+        t = (say(period) * 250)[: r.randint(200, 500)]
+        near = say(r.choice([30, 250, 700]))
+        for block in ([t], [t, near], [near, t], [near + t], [t + near]):
+            seen = Counter(d[k : k + 200] for d in block for k in range(len(d) - 199))
+            doc, start, n, name, _, _, inner = (x.tolist() for x in suffix_dedup.segments(block))
+            for d, s, c, m, twice in zip(doc, start, n, name, inner, strict=True):
+                assert twice or name.count(m) > 1 or all(seen[block[d][k : k + 200]] == 1 for k in range(s, s + c))
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame([(1, "ha " * 80)], "doc_id long, text string")).first()
+    assert (got.n_bytes, got.n_removed) == (240, 240)
+
+
 def test_merged_transforms():
     r = random.Random(3)
     for trial in range(20):
