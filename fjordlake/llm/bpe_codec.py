@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from .common import keyed_text
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 120_000
+CACHE, BLOCK = 120_000, 4096
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() takes these as white space, the pattern doesn't
 
@@ -173,10 +173,15 @@ class Codec:
         self.chunks = re.compile(f"[^{_SPACE}]+")
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
-        self._known: dict[str, tuple[int, bytes, bytes, bool]] = {}
-        self._old: dict[str, tuple[int, bytes, bytes, bool]] = {}
-        self._short: dict[str, tuple[int, bytes, bytes, bool]] = {}
+        self._known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._short: dict[str, tuple[int, ...]] = {}
         self.piece = {t: bytes(self.bytes_of[c] for c in t.removesuffix(self.merges.suffix)) for t in self.vocab}
+        # by id: its digits, its token, its bytes with the space behind a word's end
+        self.ends = {i for i, t in self.tokens.items() if t in self.specials or t.endswith(self.merges.suffix)}
+        self.digits = {i: str(i).encode() for i in self.tokens}
+        self.names = {i: t.encode() for i, t in self.tokens.items()}
+        self.spaced = {i: (t.encode() if t in self.specials else self.piece[t]) + b" " * (i in self.ends) for i, t in self.tokens.items()}
 
     def symbols(self, word: str) -> Iterator[str]:
         data = word.encode()
@@ -219,52 +224,81 @@ class Codec:
             out.append(state.special(token) if token in self.specials else state.feed(token))
         return "".join(out) + state.end()
 
-    def _word(self, word: str) -> tuple[int, bytes, bytes, bool]:
-        """(tokens, ids joined, token strings joined, whether the tokens' bytes give the word back)."""
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word through the transducer; those of short words are kept."""
         got = self._short.get(word)
         if got is None:
-            data = word.encode()
-            if len(data) > 4 * self.merges.lookahead:
-                tokens = list(self.word_tokens(word))
-            else:
-                symbols = [self.letters[b] for b in data]
-                symbols[-1] += self.merges.suffix
-                tokens = self.merges.merge(symbols)
-            ids = " ".join([str(self.vocab[t]) for t in tokens]).encode()
-            got = len(tokens), ids, " ".join(tokens).encode(), b"".join([self.piece[t] for t in tokens]) == data
-            if len(data) <= 64:
+            got = tuple([self.vocab[t] for t in self.word_tokens(word)])
+            if len(word) <= 64:
                 if len(self._short) >= CACHE:
                     self._short.clear()
                 self._short[word] = got
         return got
 
-    def _chunk(self, chunk: str) -> tuple[int, bytes, bytes, bool]:
-        """The same of the words of a run without white space."""
+    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
+        """(ids, words joined by a space) of a run without white space."""
         got = self._old.get(chunk)
         if got is None:
             words = (chunk,) if chunk.isascii() and chunk.isalpha() else self.words.findall(chunk)
             if len(words) == 1:
-                got = self._word(words[0])
+                got = self._word(words[0]), words[0]
             else:
-                rows = [self._word(w) for w in words]
-                got = sum([r[0] for r in rows]), b" ".join([r[1] for r in rows]), b" ".join([r[2] for r in rows]), all([r[3] for r in rows])
+                got = tuple([i for w in words for i in self._word(w)]), " ".join(words)
         if len(chunk) <= 64:
             if len(self._known) >= CACHE:
                 self._old, self._known = self._known, {}
             self._known[chunk] = got
         return got
 
-    def digest(self, text: str) -> tuple[int, str, str, bool, bytes]:
-        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text, restored, ids joined by a space)."""
-        rows, known = [], self._known.get
+    def emitted(self, text: str, most: int = BLOCK) -> Iterator[tuple[list[int], str]]:
+        """(ids, the words they stand for joined by a space) in order, in blocks that end once `most` ids are full."""
+        ids, words, known = [], [], self._known.get
         for part in self.special_re.split(text) if "<|" in text else (text,):
             if part in self.specials:
-                rows.append((1, str(self.specials[part]).encode(), part.encode(), True))
-            else:
-                rows += [known(c) or self._chunk(c) for c in self.normal_chunks(part)]
-        rows = [r for r in rows if r[0]]
-        ids, decoded = b" ".join([r[1] for r in rows]), b" ".join([r[2] for r in rows])
-        return sum([r[0] for r in rows]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), all([r[3] for r in rows]), ids
+                ids.append(self.specials[part])
+                words.append(part)
+                continue
+            for c in self.normal_chunks(part):
+                got = known(c) or self._chunk(c)
+                if got[0]:
+                    ids += got[0]
+                    words.append(got[1])
+                    if len(ids) >= most:
+                        yield ids, " ".join(words)
+                        ids, words = [], []
+        if ids:
+            yield ids, " ".join(words)
+
+    def digest(self, text: str) -> tuple[int, str, str, bool, list[int]]:
+        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text, restored, ids). What is decoded and restored
+        comes from the emitted ids alone; restored tells whether it is the text's words."""
+        out, coded, decoder, restored, gap = [], hashlib.sha256(), Decoder(self), True, ""
+        for ids, words in self.emitted(text):
+            coded.update(gap.encode() + b" ".join([self.digits[i] for i in ids]))
+            restored &= decoder.feed(ids) == gap + words
+            out += ids
+            gap = " "
+        return len(out), coded.hexdigest(), decoder.decoded.hexdigest(), restored and not decoder.end(), out
+
+
+class Decoder:
+    """Incremental decoder of ids: a hash of the library's decode so far, and the byte machine's text. Its
+    state is that of ByteText (pending bytes, whether a word has just ended), block by block."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.decoded, self.first, self.gap = codec, hashlib.sha256(), True, False
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        """The text that is complete after these ids."""
+        c = self.codec
+        self.decoded.update(b" " * (not self.first) + b" ".join([c.names[i] for i in ids]))
+        data = b" " * self.gap + b"".join([c.spaced[i] for i in ids])
+        self.first, self.gap = False, ids[-1] in c.ends
+        return self.utf8.decode(data[: len(data) - self.gap])
+
+    def end(self) -> str:
+        return self.utf8.decode(b"", True)
 
 
 _codecs: dict[str, Codec] = {}
@@ -316,7 +350,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col=
             rows = [c.digest(t or "") for t in b.column(1).to_pylist()]
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_()))]
             if with_ids:
-                flat = np.array(b" ".join([r[4] for r in rows if r[4]]).split(), np.int32)
+                flat = np.concatenate([np.array(r[4], np.int32) for r in rows])
                 ends = np.cumsum([0, *(r[0] for r in rows)]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "restored", *["ids"] * with_ids])

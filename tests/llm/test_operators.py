@@ -253,6 +253,26 @@ def test_bpe(docs):
     same([(x.doc_id, x.decoded) for x in bpe_codec.decode_ids(bpe_codec.encode_texts(docs)).collect()], [(i, lib.decode(ids, skip_special_tokens=False)) for i, ids in want])
 
 
+def test_digest_decodes_the_ids_it_emits(monkeypatch):
+    """Words go through the transducer, and what is decoded and restored comes from the ids alone."""
+    text = "Hello, Wörld 日本 <|endoftext|> it's " + "ab" * 400 + " the end " * 3000
+    c = bpe_codec.Codec(bpe_codec.tokenizer_path())
+    streamed, stream = [], c.merges.stream
+    monkeypatch.setattr(c.merges, "stream", lambda symbols: stream(iter(streamed.append(s := list(symbols)) or s)))
+    n, _, decoded, restored, ids = c.digest(text)
+    assert n == len(ids) and restored and decoded == hashlib.sha256(c.decode(ids).encode()).hexdigest()
+    assert {len(s) for s in streamed} >= {3, 5, 800}
+    decoder = bpe_codec.Decoder(c)
+    assert "".join(decoder.feed([i]) for i in ids) + decoder.end() == c.restore(ids)
+    assert decoder.decoded.hexdigest() == decoded
+    for token in ("the</w>", "<|endoftext|>"):  # an id that is read as another token is seen
+        other = bpe_codec.Codec(bpe_codec.tokenizer_path())
+        k = {**other.vocab, **other.specials}[token]
+        other.tokens[k], other.names[k], other.spaced[k] = "end</w>", b"end</w>", b"end "
+        got = other.digest(text)
+        assert got[1] == c.digest(text)[1] and got[2] == hashlib.sha256(other.decode(ids).encode()).hexdigest() != decoded and not got[3]
+
+
 def test_lookahead_holds_little():
     c = bpe_codec.codec(bpe_codec.tokenizer_path())
     read = [0]
