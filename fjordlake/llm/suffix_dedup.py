@@ -114,14 +114,15 @@ def segments(docs: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
 
 
 class Shard:
-    """Rows (one a byte position) of some texts in suffix order to START bytes. The merge refines the order
-    further, so a shard's own need not go deeper."""
+    """Rows (one a byte position) of some texts in suffix order to `start` bytes (at most START, which two
+    numbers hold). The merge refines the order further, so a shard's own need not go deeper."""
 
-    def __init__(self, parts: list[bytes]) -> None:
+    def __init__(self, parts: list[bytes], start: int = START) -> None:
         size = np.array([len(p) for p in parts], np.int64)
         stop = np.cumsum(size)
         n = int(stop[-1])
-        self.code = np.zeros(n + START, np.int64)
+        self.start, half = start, start // 2
+        self.code = np.zeros(n + start, np.int64)
         text = np.frombuffer(b"".join(parts), np.uint8)
         self.roll = Rolling(text)
         self.code[:n] = text
@@ -129,7 +130,7 @@ class Shard:
         part = np.repeat(np.arange(len(parts), dtype=np.int32), size)
         at = (np.arange(n) - (stop - size)[part]).astype(np.int32)
         left = size[part] - at
-        keys = [self.string(n, k * START // 2, START // 2, left) for k in (0, 1)]
+        keys = [self.string(n, skip, width, left) for skip, width in ((0, half), (half, start - half))]
         self.order = np.lexsort((keys[1], keys[0]))
         self.row = np.empty(n, np.int32)
         self.row[self.order] = np.arange(n, dtype=np.int32)
@@ -159,7 +160,7 @@ def stable_order(rank: np.ndarray) -> np.ndarray:
 
 def merge(shards: list[Shard], length: int = LENGTH) -> np.ndarray:
     """For each row of the shards (end to end): the bytes it shares with the row beside it in the merged
-    transform, in steps of WIDTH from START (0: fewer) up to `length`.
+    transform, in steps of WIDTH from the shards' start (0: fewer) up to `length`.
 
     The first interleave merges the shards' orders. Each round then interleaves the rows by WIDTH bytes
     more: a stable sort of the last interleave by preceding symbols, each row replaced by the row that its
@@ -176,8 +177,7 @@ def merge(shards: list[Shard], length: int = LENGTH) -> np.ndarray:
     several = np.bincount(block)[block] > 1
     rows, block = rows[several], block[several]
     shared = np.zeros(off[-1], np.int32)
-    shared[rows] = START
-    h = width = START
+    shared[rows] = h = width = shards[0].start
     while h < length and len(rows):
         if width != min(WIDTH, length - h):
             width = min(WIDTH, length - h)
@@ -202,7 +202,7 @@ def merge(shards: list[Shard], length: int = LENGTH) -> np.ndarray:
 
 def repeated(parts: list[bytes], windows: list[int], shards: int = 4, length: int = LENGTH) -> list[np.ndarray]:
     """For each text, which of its first `windows` starts begin a string that starts elsewhere, too."""
-    dealt = [Shard(parts[k::shards]) for k in range(min(shards, len(parts)))]
+    dealt = [Shard(parts[k::shards], min(START, length)) for k in range(min(shards, len(parts)))]
     hit = merge(dealt, length) >= length
     part = np.concatenate([s.part * len(dealt) + k for k, s in enumerate(dealt)])
     at = np.concatenate([s.at for s in dealt])

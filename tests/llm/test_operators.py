@@ -183,6 +183,16 @@ def test_merged_transforms():
         assert [[seen[p[i : i + n]] > 1 for i in range(len(p) - n + 1)] for p in parts] == [g.tolist() for g in got]
 
 
+def test_merged_transforms_of_short_lengths():
+    r = random.Random(4)
+    for trial in range(60):
+        n = trial % 20 + 1
+        parts = ["".join(r.choice("ab") for _ in range(r.randint(n, 60))).encode() for _ in range(r.randint(1, 9))]
+        seen = Counter(p[i : i + n] for p in parts for i in range(len(p) - n + 1))
+        got = suffix_dedup.repeated(parts, [len(p) - n + 1 for p in parts], 1 + trial % 4, n)
+        assert [[seen[p[i : i + n]] > 1 for i in range(len(p) - n + 1)] for p in parts] == [g.tolist() for g in got]
+
+
 def substring_brute(rows, window=50):
     words = [(t or "").encode().split() for _, t in rows]
     least = {}
