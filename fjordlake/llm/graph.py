@@ -48,12 +48,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         before = stars
         # large-star: every greater neighbour of u points at the least of u and its neighbours
         both = before.unionByName(before.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        big = skew_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        big = skew_join(both, least, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         big = scratch.write(big, f"{name}-{step}-large")
         # small-star: u and its lesser neighbours point at the least of them
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = skew_join(big, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        least = big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = skew_join(big, least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         step += 1
         stars = scratch.write(small, f"{name}-{step}")
         if not _differs(before, stars):

@@ -6,21 +6,27 @@ names j-th, with a value in [j, j+1). Ranks of one element are thus correlated (
 lowers the estimate's variance, and a signature is complete as soon as every slot holds a value under
 the next rank, often after one or two ranks (early stopping).
 
-Bands of the signature bring together sets that may be alike. Equal sets are first folded into classes.
-In each bucket every class is held against the bucket's first (a star, not all pairs), links are
-verified on full sets from the whole texts, and union-find gives components. Then come the pairs a star
-can miss: in buckets that still hold several components, members of different components are compared
-by signature (blocks of a bucket against its lesser components) and the most alike are verified, with a
-width that grows eightfold until no candidate is left out. So each pair that shares a band is either
-linked through others or verified itself.
-
-With 32 bands of 4 slots, a pair at similarity 0.75 shares no band with a chance of about 5 in a
-million; far fewer links than pairs are needed to join a group.
+Equal sets are folded into classes; bands of the signature bring together classes that may be alike.
+Verification, always on full sets:
+
+1. Stars. In each bucket the largest component's centre is offered to the members outside it; a class is
+   held against one centre a round, the one that most of its buckets offer. Union-find joins the links.
+   A few rounds of this link most of what is alike, with at most one pair a class and round.
+2. What is left are buckets that hold several components. A class can only gain a link if enough of its
+   shingles stand in other components' classes of such buckets, which Spark counts; and only if its bucket
+   holds a class of another component that the same count and the set sizes allow. Both bounds are
+   exact, so nothing alike is dropped.
+3. The classes under these bounds are compared in full, in blocks of a bucket: members outside the main
+   component (queries) against all others, in a task that holds one block of each, with exact sizes of
+   intersections. A task gives back only the links of a spanning forest, never pairs.
+
+So each pair of classes that shares a band ends up in one component or is compared in full. The only
+miss is a pair that shares no band: with 32 bands of 4 slots, about 5 in a million at similarity 0.75.
 
 Defined cases: null, empty and wordless texts have an empty set, link with nothing and are kept; fewer
 than five words are one shingle; repeated rows and equal ids are judged row by row, a component's id is
 the least id in it; a null id is never the least unless all are null (then component_id is null and kept
-false).
+false). `docs` is read twice: for the signatures, and for the sets of classes that share a band.
 """
 
 from __future__ import annotations
@@ -33,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed_text, skew_join, table, texts
+from .common import Scratch, hot_of, keyed_text, skew_join, split_join, table, texts
 from .graph import components
 
 SHINGLE, SLOTS, ROWS = 5, 128, 4
 THRESHOLD = (75, 100)
+STARS = 3
 SALT = 256
-BLOCK = 1024
+BLOCK, BLOCK_TERMS = 1024, 1 << 21
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,140 +136,220 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, slots: int, rows: int) -> DataFrame:
-    """(doc_id, text, n_shingles, node, bands, sig): node names the set (null: empty set), sig holds 16 bits
-    of each slot."""
+    """(doc_id, mark, n_shingles, node, bands) of (doc_id, text, mark); node names the set (null: empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                n, node, band, sig = [], [], [], []
+                n, node, band = [], [], []
                 for t in texts(b):
                     s = shingles(t, size)
                     n.append(len(s))
-                    if len(s):
-                        m = super_minhash(s, slots)
-                        node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                        band.append(bands(m, rows))
-                        sig.append((mix(m.view(np.uint64)) >> np.uint64(48)).astype(np.uint16).tobytes())
-                    else:
-                        node.append(None)
-                        band.append(None)
-                        sig.append(None)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names="doc_id text n_shingles node bands sig".split())
-
-    return docs.mapInArrow(run, "doc_id long, text string, n_shingles long, node binary, bands array<long>, sig binary")
-
-
-def verified(pairs: DataFrame, bodies: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """Of pairs (u, v) of nodes, those whose full sets are alike enough. bodies: (node, text), one row a node.
-    A node with many partners is dealt over several tasks."""
-    salt = F.pmod(F.xxhash64("v"), F.col("salts"))
-    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    left = bodies.join(many, bodies["node"] == many["u"]).select("u", F.col("text").alias("text_u"), "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    right = skew_join(pairs, many, "u").select("u", "v", salt.cast("int").alias("salt"))
-    right = right.join(bodies, right["v"] == bodies["node"]).select("u", "v", "salt", F.col("text").alias("text_v"))
-    both = right.join(left, ["u", "salt"]).select("u", "v", "text_u", "text_v")
-    over, of = threshold
+                    node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    band.append(bands(super_minhash(s, slots), rows) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(band, pa.list_(pa.int64()))], names="doc_id mark n_shingles node bands".split())
+
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, node binary, bands array<long>")
+
+
+_ROW_ID = f"coalesce(doc_id, {-(1 << 63)}L)"  # a null id counts as the least long
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """One row a class of equal sets: k numbers it, (row_id, mark) names a document that has it."""
+    some = signed.where("node IS NOT NULL")
+    by = some.groupBy("node").agg(F.first("n_shingles").alias("size"), F.min(F.struct(F.expr(_ROW_ID).alias("row_id"), "mark")).alias("head"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    return by.select(F.monotonically_increasing_id().alias("k"), "node", "size", "head.row_id", "head.mark", "least", "bands")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(k, terms): the sorted shingle hashes of the wanted classes (k, row_id, mark)."""
+    found = docs.select(F.expr(_ROW_ID).alias("row_id"), "mark", "text").join(wanted, ["row_id", "mark"]).dropDuplicates(["row_id", "mark", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                keep = []
-                for u, t, v in zip(b.column(0).to_pylist(), texts(b, 2), texts(b, 3), strict=True):
-                    if u != last:
-                        last, mine = u, shingles(t, size)
-                    s = shingles(v, size)
-                    common = len(np.intersect1d(mine, s, assume_unique=True))
-                    keep.append(of * common >= over * (len(mine) + len(s) - common))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 200):
+                b = batch.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).view(np.int64) for t in texts(b)], pa.list_(pa.int64()))], names=["k", "terms"])
+
+    return found.select("k", "text").mapInArrow(run, "k long, terms array<long>")
 
-    return both.mapInArrow(run, "u binary, v binary")
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-def _missed(width: int, slots: int, least: float):
-    """Of a block of a bucket: pairs of a lesser component's member (query) with members of other components
-    whose signatures agree enough, at most `width` for each query and component; more = some were left."""
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of pairs (u, v) of classes, those whose sets (k, terms) are alike enough. A class that is u of many
+    pairs is dealt over several tasks; v may be so at most once."""
+    salt = F.pmod(F.xxhash64("v"), F.col("salts"))
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    left = sets.join(many, sets["k"] == many["u"]).select("u", F.col("terms").alias("terms_u"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = skew_join(pairs, many, "u").select("u", "v", salt.cast("int").alias("salt"))
+    right = right.join(sets, right["v"] == sets["k"]).select("u", "v", "salt", F.col("terms").alias("terms_v"))
+    both = right.join(left, ["u", "salt"]).select("u", "v", "terms_u", "terms_v")
+    over, of = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(_lists(b.column(2)), _lists(b.column(3)), strict=True):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(of * common >= over * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def common_counts(lists: list[np.ndarray], left: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each list numbered in `left`, how many values it shares with every list (values are distinct within
+    a list). Frequent values are counted by products of 0/1 matrices, the rest by their lists of owners."""
+    n = len(lists)
+    owner = np.repeat(np.arange(n), [len(x) for x in lists])
+    term = np.unique(np.concatenate([*lists, np.zeros(0, np.int64)]), return_inverse=True)[1]
+    freq = np.bincount(term) if len(term) else np.zeros(0, np.int64)
+    kind = np.where(freq >= max(8, n // 16), 2, np.where(freq > 1, 1, 0))
+    number = np.zeros(len(freq), np.int64)
+    for x in (1, 2):
+        number[kind == x] = np.arange((kind == x).sum())
+    often, rare = kind[term] == 2, kind[term] == 1
+    rows, cols, width = owner[often], number[term[often]], int((kind == 2).sum())
+    by_term = np.argsort(number[term[rare]], kind="stable")
+    holders = owner[rare][by_term]
+    stop = np.cumsum(freq[kind == 1])
+    mine, mine_of = number[term[rare]], np.searchsorted(owner[rare], np.arange(n + 1))
+    for at in range(0, len(left), 256):
+        part = left[at : at + 256]
+        total = np.zeros((len(part), n), np.float32)
+        for c in range(0, width, 4096):
+            here = (cols >= c) & (cols < c + 4096)
+            held = np.zeros((n, min(4096, width - c)), np.float32)
+            held[rows[here], cols[here] - c] = 1
+            total += held[part] @ held.T
+        for line, i in enumerate(part.tolist()):
+            t = mine[mine_of[i] : mine_of[i + 1]]
+            size = freq[kind == 1][t] if len(t) else t
+            if size.sum():
+                begin = stop[t] - size
+                reach = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+                total[line] += np.bincount(holders[reach], minlength=n)
+            yield i, total[line]
+
+
+def _spanning(threshold: tuple[int, int]):
+    """Of a query block and a block to hold it against: links that join components, as a forest."""
+    over, of = threshold
 
     def run(t: pa.Table) -> pa.Table:
-        get = lambda c: t.column(c).to_pylist()
-        node, root, query = np.array(get("node"), object), np.array(get("root"), object), np.array(get("query"), bool)
-        sig = np.frombuffer(b"".join(get("sig")), np.uint16).reshape(-1, slots)
-        us, vs, more = [], [], []
-        data = np.flatnonzero(np.array(get("data"), bool))
-        for i in np.flatnonzero(query):
-            far = data[root[data] != root[i]]
-            like = (sig[far] == sig[i]).mean(1) if len(far) else np.zeros(0)
-            order = np.argsort(-like, kind="stable")
-            taken: dict = {}
-            for k in order[: (like >= least).sum()]:
-                got = taken[root[far[k]]] = taken.get(root[far[k]], 0) + 1
-                if got > width:
-                    continue
-                us.append(min(node[i], node[far[k]]))
-                vs.append(max(node[i], node[far[k]]))
-                more.append(False)
-            if any(x > width for x in taken.values()):
-                us.append(None)
-                vs.append(None)
-                more.append(True)
-        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary()), "more": pa.array(more, pa.bool_())})
+        t = t.combine_chunks()
+        get = lambda c: t.column(c).to_numpy()
+        k, size, left = get("k"), get("size").astype(np.float64), get("left")
+        root = np.unique(get("root"), return_inverse=True)[1]
+        up = np.arange(len(root))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        us, vs = [], []
+        right = ~left if not left.all() else left
+        column = t.column("terms")
+        for i, shared in common_counts(_lists(column.chunk(0)) if len(k) else [], np.flatnonzero(left)):
+            alike = right & (root != root[i]) & (of * shared.astype(np.float64) >= over * (size + size[i] - shared))
+            for j in np.flatnonzero(alike)[np.unique(root[alike], return_index=True)[1]].tolist():
+                a, b = top(root[i]), top(root[j])
+                if a != b:
+                    up[a] = b
+                    us.append(k[i])
+                    vs.append(k[j])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
+def _stars(member: DataFrame, sets: DataFrame, hot: DataFrame, threshold: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links (u, v), member with roots) after a few rounds of stars."""
+    over, of = threshold
+    edges = tried = None
+    at = member.withColumn("root", F.col("k"))
+    for r in range(STARS):
+        groups = at.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("k", F.lit(r)).alias("h"), "k", "size")).alias("first"))
+        mains = groups.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("n", F.xxhash64("root").alias("h"), "root", "first")).alias("main")).where("roots > 1")
+        mains = mains.select("bucket", F.col("main.root").alias("main"), F.col("main.first.k").alias("centre"), F.col("main.first.size").alias("centre_size"))
+        offers = split_join(at, mains, "bucket", hot).where(F.col("root") != F.col("main")).where(of * F.least("size", "centre_size") >= over * F.greatest("size", "centre_size"))
+        offers = offers.groupBy("k", "centre").agg(F.count("*").alias("n"))
+        if tried is not None:
+            offers = offers.join(tried.select(F.col("u").alias("centre"), F.col("v").alias("k")), ["k", "centre"], "left_anti")
+        best = offers.groupBy("k").agg(F.max(F.struct("n", F.xxhash64("centre").alias("h"), "centre")).alias("best"))
+        pairs = scratch.write(best.select(F.col("best.centre").alias("u"), F.col("k").alias("v")), f"pairs-{r}")
+        links = scratch.write(verified(pairs, sets, threshold), f"links-{r}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        edges = links if edges is None else edges.unionByName(links)
+        labels = components(edges, scratch, f"star-{r}").withColumnRenamed("node", "k")
+        at = scratch.write(member.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k")), f"at-{r}")
+        if r:
+            scratch.drop(f"at-{r - 1}")
+    return edges, at
+
+
+def _residual(at: DataFrame, sets: DataFrame, hot: DataFrame, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Links (u, v) between components that share a bucket: all pairs that exact bounds leave are compared."""
+    over, of = threshold
+    mixed = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    at = scratch.write(split_join(at, mixed, "bucket", hot), "mixed")
+    # shingles that classes of two components hold
+    terms = at.select("k", "root").distinct().join(sets, "k").select("k", "root", F.explode("terms").alias("term"))
+    common = terms.groupBy("term").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("term", "n")
+    common = scratch.write(common, "common")
+    shared = scratch.write(skew_join(terms.select("k", "term"), common, "term", "n").groupBy("k").agg(F.collect_list("term").alias("terms")), "shared")
+    # with m shared shingles at most, (over + of) m >= over (size + other size) must hold for a link
+    rows = at.join(shared.select("k", F.size("terms").alias("m")), "k").where(of * F.col("m") >= over * F.col("size")).withColumn("room", (over + of) * F.col("m") - over * F.col("size"))
+    rows = scratch.write(rows, "rows")
+    groups = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("room").alias("most"))
+    mains = groups.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("n", F.xxhash64("root").alias("h"), "root")).alias("main")).where("roots > 1").select("bucket", F.col("main.root").alias("main"))
+    far = F.col("root") != F.col("main")
+    bounds = split_join(groups, mains, "bucket", hot).groupBy("bucket", "main").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.min(F.when(far, F.col("least"))).alias("far_least"), F.max(F.when(far, F.col("most"))).alias("far_most")
+    )
+    fits = lambda least, most: (F.col("room") >= over * F.col(least)) & (F.col(most) >= over * F.col("size"))
+    kept = split_join(rows, bounds, "bucket", hot).withColumn("query", far).where(F.when(far, fits("least", "most")).otherwise(fits("far_least", "far_most")))
+    kept = scratch.write(kept.select("bucket", "k", "root", "size", "m", "query"), "kept")
+    scratch.drop("mixed", "rows", "common")
+    # queries meet queries and the rest, one block of each a task
+    blocks = lambda of_rows: F.greatest(F.ceil(F.count(F.when(of_rows, 1)) / BLOCK), F.ceil(F.sum(F.when(of_rows, F.col("m")).otherwise(0)) / BLOCK_TERMS)).cast("int")
+    dealt = kept.groupBy("bucket").agg(blocks(F.col("query")).alias("queries"), blocks(~F.col("query")).alias("others"), F.count("*").alias("n")).where("queries > 0 AND n > 1").drop("n")
+    dealt = split_join(kept, dealt, "bucket", hot).withColumn("own", F.pmod(F.xxhash64("k"), F.when(F.col("query"), F.col("queries")).otherwise(F.col("others"))).cast("int"))
+    as_left = F.expr("transform(sequence(own, queries + others - 1), t -> struct(own AS i, t AS j, true AS left))")
+    as_right = F.expr("if(own > 0 OR NOT query, transform(sequence(0, if(query, own, queries) - 1), t -> struct(t AS i, if(query, own, queries + own) AS j, false AS left)), array())")
+    dealt = dealt.withColumn("to", F.explode(F.when(F.col("query"), F.concat(as_left, as_right)).otherwise(as_right))).select("bucket", "to.*", "k", "root", "size").join(shared, "k")
+    return scratch.write(dealt.groupBy("bucket", "i", "j").applyInArrow(_spanning(threshold), "u long, v long"), "links-last")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, slots: int = SLOTS, rows: int = ROWS, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row a document."""
     scratch = scratch or Scratch(docs.sparkSession, "near")
-    signed = scratch.write(signatures(keyed_text(docs, id_col, text_col), size, slots, rows), "signed")
-    least_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    # one row stands for a class of equal sets
-    heads = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(least_id).alias("head"))
-    full = signed.where("node IS NOT NULL").withColumn("head", least_id)
-    reps = scratch.write(full.select("node", "head", "bands", "sig").join(heads, ["node", "head"], "left_semi").dropDuplicates(["node"]), "reps")
-    banded = reps.select("node", F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("bucket", "u")
-    member = scratch.write(skew_join(banded, crowded, "bucket").select("bucket", "node", "u"), "member")
-    pairs = scratch.write(member.where("u <> node").select("u", F.col("node").alias("v")).distinct(), "pairs")
-    wanted = member.select("node").distinct().join(reps.select("node", "head"), "node")
-    bodies = scratch.write(full.select("node", "head", "text").join(wanted, ["node", "head"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "bodies")
-    edges = scratch.write(verified(pairs, bodies, size, threshold), "edges-0")
-    done, width, step = pairs, 8, 0
-    least = threshold[0] / threshold[1] - 0.17  # over four standard deviations of the estimate
-    while True:
-        labels = scratch.write(components(edges, scratch, f"cc-{step}"), f"labels-{step}")
-        at = member.select("bucket", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = at.groupBy("bucket", "root").count()
-        mixed = scratch.write(sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n"), F.sum("count").alias("rows")).where("n > 1"), f"mixed-{step}")
-        if mixed.isEmpty():
-            break
-        # the bucket's main component is data, in blocks; the others are held against every block
-        open_ = skew_join(at, mixed.select("bucket", "main", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "bucket").join(reps.select("node", "sig"), "node")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        query = F.col("root") != F.col("main")
-        dealt = open_.withColumn("block", F.explode(F.when(query, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-        dealt = dealt.select("bucket", "block", "node", "root", "sig", query.alias("query"), (F.col("block") == own).alias("data"))
-        found = scratch.write(dealt.groupBy("bucket", "block").applyInArrow(_missed(width, slots, least), "u binary, v binary, more boolean"), f"found-{step}")
-        fresh = scratch.write(found.where("u IS NOT NULL").select("u", "v").distinct().join(done, ["u", "v"], "left_anti"), f"fresh-{step}")
-        more = not found.where("more").isEmpty()
-        if not fresh.isEmpty():
-            new = verified(fresh, bodies, size, threshold)
-            edges = scratch.write(edges.unionByName(new), f"edges-{step + 1}")
-            done = done.unionByName(fresh)
-        elif not more:
-            break
-        step += 1
-        width *= 8
-        if not more:
-            labels = scratch.write(components(edges, scratch, f"cc-{step}"), f"labels-{step}")
-            break
+    docs = keyed_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    signed = scratch.write(signatures(docs, size, slots, rows), "signed")
+    classes = scratch.write(_classes(signed), "classes")
+    banded = classes.select("k", "size", F.explode("bands").alias("bucket"))
+    crowded = scratch.write(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+    hot = hot_of(crowded, "bucket", "n")
+    member = scratch.write(split_join(banded, crowded.select("bucket"), "bucket", hot), "member")
+    wanted = classes.join(member.select("k").distinct(), "k", "left_semi").select("k", "row_id", "mark")
+    sets = scratch.write(_sets(docs, wanted, size), "sets")
+    edges, at = _stars(member, sets, hot, threshold, scratch)
+    edges = edges.unionByName(_residual(at, sets, hot, threshold, scratch))
+    scratch.drop("crowded", "member", "sets", "shared", "kept", f"at-{STARS - 1}")
+    labels = components(edges, scratch, "all").withColumnRenamed("node", "k")
     # ids: least of each component, over all members
-    classes = heads.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    real = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    by_root = classes.join(real, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = scratch.write(skew_join(classes.select("node", "root"), by_root, "root").select("node", "component_id"), "ids")
+    named = classes.select("k", "node", "least").join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    by_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    ids = scratch.write(skew_join(named.select("node", "root"), by_root, "root", "n").select("node", "component_id"), "ids")
     some = skew_join(signed.where("node IS NOT NULL").select("doc_id", "n_shingles", "node"), ids, "node").select("doc_id", "n_shingles", "component_id")
     none = signed.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
