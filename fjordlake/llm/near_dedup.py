@@ -10,7 +10,7 @@ Equal sets are folded into classes; bands of the signature bring together classe
 Verification, always on full sets:
 
 1. Stars. In each bucket the largest component's centre is offered to the members outside it; a class is
-   held against one centre a round, the one that most of its buckets offer. Union-find joins the links.
+   held against one centre a round, the one that most of its buckets offer. Links merge components.
    A few rounds of this link most of what is alike, with at most one pair a class and round.
 2. What is left are buckets that hold several components. A class can only gain a link if enough of its
    shingles stand in other components' classes of such buckets, which Spark counts; and only if its bucket
@@ -19,6 +19,7 @@ Verification, always on full sets:
 3. The classes under these bounds are compared in full, in blocks of a bucket: members outside the main
    component (queries) against all others, in a task that holds one block of each, with exact sizes of
    intersections. A task gives back only the links of a spanning forest, never pairs.
+4. Union-find over all links gives the groups.
 
 So each pair of classes that shares a band ends up in one component or is compared in full. The only
 miss is a pair that shares no band: with 32 bands of 4 slots, about 5 in a million at similarity 0.75.
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, hot_of, keyed_text, skew_join, split_join, table, texts
-from .graph import components
+from .graph import components, hooked
 
 SHINGLE, SLOTS, ROWS = 5, 128, 4
 THRESHOLD = (75, 100)
@@ -186,9 +187,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
     """Of pairs (u, v) of classes, those whose sets (k, terms) are alike enough. A class that is u of many
     pairs is dealt over several tasks; v may be so at most once."""
     salt = F.pmod(F.xxhash64("v"), F.col("salts"))
-    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"), F.count("*").alias("n"))
     left = sets.join(many, sets["k"] == many["u"]).select("u", F.col("terms").alias("terms_u"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    right = skew_join(pairs, many, "u").select("u", "v", salt.cast("int").alias("salt"))
+    right = skew_join(pairs, many, "u", "n").select("u", "v", salt.cast("int").alias("salt"))
     right = right.join(sets, right["v"] == sets["k"]).select("u", "v", "salt", F.col("terms").alias("terms_v"))
     both = right.join(left, ["u", "salt"]).select("u", "v", "terms_u", "terms_v")
     over, of = threshold
@@ -205,7 +206,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
 
 
 def common_counts(lists: list[np.ndarray], left: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each list numbered in `left`, how many values it shares with every list (values are distinct within
+    """For each list numbered in `left`, how many values it shares with every other list (values are distinct within
     a list). Frequent values are counted by products of 0/1 matrices, the rest by their lists of owners."""
     n = len(lists)
     owner = np.repeat(np.arange(n), [len(x) for x in lists])
@@ -273,13 +274,16 @@ def _spanning(threshold: tuple[int, int]):
 
 
 def _stars(member: DataFrame, sets: DataFrame, hot: DataFrame, threshold: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(links (u, v), member with roots) after a few rounds of stars."""
+    """(links (u, v), member with roots) after a few rounds of stars. Members of one root are connected; what
+    is connected may still have several roots."""
     over, of = threshold
-    edges = tried = None
-    at = member.withColumn("root", F.col("k"))
+    labels = member.select("k").distinct().withColumn("root", F.col("k"))
+    at, edges, tried = member.withColumn("root", F.col("k")), None, None
     for r in range(STARS):
-        groups = at.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("k", F.lit(r)).alias("h"), "k", "size")).alias("first"))
-        mains = groups.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("n", F.xxhash64("root").alias("h"), "root", "first")).alias("main")).where("roots > 1")
+        # a bucket's centre: of its least class, then of its largest component, another member each round
+        turn = F.xxhash64("k", F.lit(r)) if r else F.col("k")
+        groups = at.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min(F.struct(turn.alias("h"), "k", "size")).alias("first"))
+        mains = groups.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("n", (-F.col("root")).alias("h"), "root", "first")).alias("main")).where("roots > 1")
         mains = mains.select("bucket", F.col("main.root").alias("main"), F.col("main.first.k").alias("centre"), F.col("main.first.size").alias("centre_size"))
         offers = split_join(at, mains, "bucket", hot).where(F.col("root") != F.col("main")).where(of * F.least("size", "centre_size") >= over * F.greatest("size", "centre_size"))
         offers = offers.groupBy("k", "centre").agg(F.count("*").alias("n"))
@@ -290,10 +294,12 @@ def _stars(member: DataFrame, sets: DataFrame, hot: DataFrame, threshold: tuple[
         links = scratch.write(verified(pairs, sets, threshold), f"links-{r}")
         tried = pairs if tried is None else tried.unionByName(pairs)
         edges = links if edges is None else edges.unionByName(links)
-        labels = components(edges, scratch, f"star-{r}").withColumnRenamed("node", "k")
-        at = scratch.write(member.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k")), f"at-{r}")
+        for again in range(2):
+            labels = hooked(labels, edges, scratch, f"hooks-{r}-{again}")
+        labels = scratch.write(labels, f"roots-{r}")
+        at = scratch.write(member.join(labels, "k"), f"at-{r}")
         if r:
-            scratch.drop(f"at-{r - 1}")
+            scratch.drop(f"at-{r - 1}", f"roots-{r - 1}")
     return edges, at
 
 
