@@ -25,6 +25,13 @@ def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def with_mark(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with `mark`, so that (doc_id, mark) tells rows with different texts apart: a hash of the
+    text where some id stands in several rows, else 0 (the id is enough, and shuffled rows stay small)."""
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return docs.withColumn("mark", F.lit(0).cast("long") if again.isEmpty() else F.xxhash64("text"))
+
+
 def bound_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(BATCH)) > BATCH_ROWS:
         spark.conf.set(BATCH, str(BATCH_ROWS))

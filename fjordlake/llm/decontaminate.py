@@ -6,8 +6,9 @@ windows are looked up in the broadcast set by a 64-bit hash, hits are verified w
 document word inside an occurrence is hit.
 
 Size of the broadcast: the item texts are measured first. Up to BLOCK_BYTES they go out in one set;
-beyond it the items are dealt into blocks of at most about that size by item, every block is held
-against all documents, and the blocks' hits are joined by document. Nothing is dropped either way.
+beyond it the items are dealt into blocks of at most about that size by item, and every block is held
+against all documents, one after the other: each block's hits are written before the next block is sent
+out, and are joined by the document's id and a hash of its text. Nothing is dropped either way.
 
 Defined cases: null or wordless texts have no words and no hits; items without words or without id
 are no items; rows with equal item ids count as one item; repeated documents are judged row by row.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, texts
+from .common import Scratch, keyed_text, table, texts
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -138,42 +139,47 @@ HITS = "doc_id long, n_words long, spans array<struct<start:int,stop:int>>, item
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def _scan(docs: DataFrame, items: ItemSet, with_text: bool) -> DataFrame:
+def _scan(docs: DataFrame, items: ItemSet, extra: list[str]) -> DataFrame:
+    """Hits of (doc_id, text, ...), and behind them the named columns of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
+    docs = docs.select("doc_id", "text", *(x for x in extra if x != "text"))
+    at = [docs.columns.index(x) for x in extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
+            for k in range(0, batch.num_rows, 1000):
+                b = batch.slice(k, 1000)
                 got = find(shared.value, texts(b))
                 cols = [b.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([[{"start": s, "stop": e} for s, e in r] for _, r, _ in got], _SPANS), pa.array([sorted(i) for _, _, i in got], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*cols, b.column(1)] if with_text else cols, names=[*"doc_id n_words spans items".split(), *["text"] * with_text])
+                yield pa.RecordBatch.from_arrays([*cols, *(b.column(x) for x in at)], names=[*"doc_id n_words spans items".split(), *extra])
 
-    return docs.mapInArrow(run, HITS + ", text string" * with_text)
+    return docs.mapInArrow(run, HITS + "".join(f", {x} {docs.schema[x].dataType.simpleString()}" for x in extra))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """One row a document: doc_id, n_words, spans of hit words (disjoint, in order), items found."""
     docs = keyed_text(docs, id_col, text_col)
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
+    extra = ["text"] * with_text
     if blocks == 1:
-        return _scan(docs, ItemSet([tuple(r) for r in bench.collect()], n), with_text)
-    parts = []
+        return _scan(docs, ItemSet([tuple(r) for r in bench.collect()], n), extra)
+    scratch = scratch or Scratch(docs.sparkSession, "contamination")
+    docs, found = docs.withColumn("_mark", F.xxhash64("text")), None
     for k in range(blocks):
-        mine = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        parts.append(_scan(docs, ItemSet([tuple(r) for r in mine.collect()], n), with_text).withColumn("block", F.lit(k)))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    # Repeated documents give equal rows in every block: the k-th copy of each block belongs together.
-    from pyspark.sql import Window
-
-    key = ["doc_id", "n_words", *["text"] * with_text]
-    both = both.withColumn("copy", F.row_number().over(Window.partitionBy("block", *key).orderBy(F.size("spans"))))
-    joined = both.groupBy(*key, "copy").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return joined.select("doc_id", "n_words", _merged("spans").alias("spans"), "items", *["text"] * with_text)
+        items = ItemSet([tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()], n)
+        if k + 1 < blocks:
+            part = scratch.write(_scan(docs, items, ["_mark"]).where("size(spans) > 0").select("doc_id", "_mark", "spans", "items"), f"hits-{k}")
+            found = part if found is None else found.unionByName(part)
+    # the last block's scan carries all rows; equal rows have equal hits
+    found = found.groupBy("doc_id", "_mark").agg(F.flatten(F.collect_set("spans")).alias("_spans"), F.flatten(F.collect_set("items")).alias("_items"))
+    found = found.withColumnsRenamed({"doc_id": "_id", "_mark": "_text"})
+    last = _scan(docs, items, ["_mark", *extra])
+    both = last.join(found, last["doc_id"].eqNullSafe(found["_id"]) & (last["_mark"] == found["_text"]), "left")
+    every = lambda a, b: F.concat(a, F.coalesce(b, F.array().cast(both.schema[b].dataType)))
+    both = both.withColumn("spans", every("spans", "_spans")).withColumn("items", F.array_sort(F.array_distinct(every("items", "_items"))))
+    return both.select("doc_id", "n_words", _merged("spans").alias("spans"), "items", *extra)
 
 
 def _merged(col: str):
@@ -191,8 +197,6 @@ def judged(hits: DataFrame) -> DataFrame:
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     hits = judged(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), "contaminated")

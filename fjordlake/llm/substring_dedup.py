@@ -14,7 +14,8 @@ documents share; only windows with a shared representative are verified, by hash
 (96 bits), and a window is removed where the least document that has it is a smaller one.
 
 Defined cases: null ids neither lose words nor are sources; null, empty and short texts (under 50 words)
-lose nothing; repeated rows and equal ids are judged alike and don't remove each other's words.
+lose nothing; repeated rows and equal ids don't remove each other's words, and rows with one id but different texts are
+each judged by their own.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_keys, keyed_text, skew_join, table, texts
+from .common import Scratch, hot_keys, keyed_text, skew_join, table, texts, with_mark
 from .near_dedup import mix, word_hashes
 
 WINDOW, ROUNDS = 50, 9
@@ -146,26 +147,25 @@ def _names(window: int, rounds: int):
                 at = np.flatnonzero(p.whole)
                 turn = np.concatenate([[True], (p.name[at][1:] != p.name[at][:-1]) | (p.owner[at][1:] != p.owner[at][:-1])]) if len(at) else np.zeros(0, bool)
                 at = at[turn]
-                ids = np.array(b.column(0).to_pylist(), np.int64)
-                got = np.unique(np.stack([p.name[at].view(np.int64), ids[p.owner[at]]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["name", "doc_id"])
+                got = np.unique(np.stack([p.owner[at], p.name[at].view(np.int64)], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 1]), b.column(0).take(pa.array(got[:, 0])), b.column(2).take(pa.array(got[:, 0]))], names=["name", "doc_id", "mark"])
 
     return run
 
 
 def _windows(window: int, rounds: int):
-    """Of (doc_id, text, names): the windows whose representative is among the names."""
+    """Of (doc_id, text, mark, names): the windows whose representative is among the names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in _blocks(batch):
                 p = Parsed([_words(t) for t in texts(b)], window, rounds)
-                shared = [np.array(x, np.int64).view(np.uint64) for x in b.column(2).to_pylist()]
+                shared = [np.array(x, np.int64).view(np.uint64) for x in b.column(3).to_pylist()]
                 at = [s + np.flatnonzero(p.whole[s:e] & np.isin(p.name[s:e], x)) for s, e, x in zip(p.start, p.stop, shared, strict=True)]
                 at = np.concatenate([np.zeros(0, np.int64), *at])
                 h, check = p.hashes(at)
-                ids = np.array(b.column(0).to_pylist(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), pa.array(ids[p.owner[at]]), pa.array((at - p.start[p.owner[at]]).astype(np.int32))], names=["h", "chk", "doc_id", "pos"])
+                own = pa.array(p.owner[at])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), b.column(0).take(own), b.column(2).take(own), pa.array((at - p.start[p.owner[at]]).astype(np.int32))], names=["h", "chk", "doc_id", "mark", "pos"])
 
     return run
 
@@ -198,18 +198,19 @@ def _cut(window: int, with_text: bool):
 
 
 def removal_starts(docs: DataFrame, window: int, rounds: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, starts): first words of the windows to remove, of documents that lose any."""
+    """(doc_id, mark, starts): first words of the windows to remove, of the documents (doc_id, text, mark) that
+    lose any."""
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    names = scratch.write(some.mapInArrow(_names(window, rounds), "name long, doc_id long"), "names")
+    names = scratch.write(some.mapInArrow(_names(window, rounds), "name long, doc_id long, mark long"), "names")
     shared = names.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("name")
-    by_doc = skew_join(names, scratch.write(shared, "shared"), "name").groupBy("doc_id").agg(F.collect_set("name").alias("names"))
-    found = some.join(by_doc, "doc_id").mapInArrow(_windows(window, rounds), "h long, chk int, doc_id long, pos int")
+    by_doc = skew_join(names, scratch.write(shared, "shared"), "name").groupBy("doc_id", "mark").agg(F.collect_set("name").alias("names"))
+    found = some.join(by_doc, ["doc_id", "mark"]).select("doc_id", "text", "mark", "names").mapInArrow(_windows(window, rounds), "h long, chk int, doc_id long, mark long, pos int")
     found = scratch.write(found, "windows")
     scratch.drop("names", "shared")
     least = found.groupBy("h", "chk").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "chk", "lo")
     least = scratch.write(least, "least")
     later = _later(found, least)
-    starts = scratch.write(later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")), "starts")
+    starts = scratch.write(later.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("starts")), "starts")
     scratch.drop("windows", "least")
     return starts
 
@@ -239,18 +240,21 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with later repeats taken out of the text (the words left are joined by one space); a text that
     loses nothing stays as it is, and so do all other columns and rows."""
     scratch = scratch or Scratch(docs.sparkSession, "substring")
-    starts = removal_starts(keyed_text(docs, id_col, text_col), window, rounds, scratch).select(F.col("doc_id").alias("_repeat_id"), F.col("starts").alias("_repeat_starts"))
-    rows = docs.join(starts, docs[id_col].cast("long") == starts["_repeat_id"], "left").drop("_repeat_id")
+    keyed = with_mark(keyed_text(docs, id_col, text_col))
+    starts = removal_starts(keyed, window, rounds, scratch).select(F.col("doc_id").alias("_repeat_id"), F.col("mark").alias("_repeat_mark"), F.col("starts").alias("_repeat_starts"))
+    own = docs[id_col].cast("long") == starts["_repeat_id"]
+    text_hash = F.xxhash64(docs[text_col].cast("string"))
+    rows = docs.join(starts, own & starts["_repeat_mark"].isin(F.lit(0), text_hash), "left").drop("_repeat_id", "_repeat_mark")
     return rows.mapInArrow(_kept_rows(window, docs.columns.index(text_col)), docs.schema)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) and with with_text kept, one row a document."""
     scratch = scratch or Scratch(docs.sparkSession, "substring")
-    docs = keyed_text(docs, id_col, text_col)
+    docs = with_mark(keyed_text(docs, id_col, text_col))
     starts = removal_starts(docs, window, rounds, scratch)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return docs.join(starts, "doc_id", "left").mapInArrow(_cut(window, with_text), schema)
+    return docs.join(starts, ["doc_id", "mark"], "left").select("doc_id", "text", "starts").mapInArrow(_cut(window, with_text), schema)
 
 
 def _later(found: DataFrame, least: DataFrame) -> DataFrame:
@@ -259,7 +263,7 @@ def _later(found: DataFrame, least: DataFrame) -> DataFrame:
     few = F.broadcast(least.join(F.broadcast(hot), "h", "left_semi"))
     rest = found.join(F.broadcast(hot), "h", "left_anti").join(least, ["h", "chk"])
     both = found.join(few, ["h", "chk"]).unionByName(rest)
-    return both.where("lo < doc_id").select("doc_id", "pos")
+    return both.where("lo < doc_id").select("doc_id", "mark", "pos")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_keys, keyed_text, skew_join, table, texts
+from .common import Scratch, hot_keys, keyed_text, skew_join, table, texts, with_mark
 from .near_dedup import mix
 from .substring_dedup import _blocks
 
@@ -222,25 +222,23 @@ def _segments(length: int, gram: int):
             for b in _blocks(batch):
                 data = texts(b)
                 doc, start, count, name, h, check, inner = segments(data, length, gram)
-                ids = np.array(b.column(0).to_pylist(), np.int64)
-                salt = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little", signed=True) for t in data], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(h), pa.array(check), pa.array(ids[doc]), pa.array(salt[doc]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inner)], names="name h chk doc_id mark pos n inner".split())
+                own = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(h), pa.array(check), b.column(0).take(own), b.column(2).take(own), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inner)], names="name h chk doc_id mark pos n inner".split())
 
     return run
 
 
 def _extract(length: int):
-    """Of (doc_id, text, list of (name, pos, n, known, wide)): the segments' bytes."""
+    """Of (doc_id, text, mark, list of (name, pos, n, known, wide)): the segments' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in _blocks(batch):
                 out = []
-                for i, t, wanted in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist(), strict=True):
-                    mark = int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little", signed=True)
-                    out += [(w["name"], i, w["pos"], w["n"], w["known"], w["wide"], t[w["pos"] : w["pos"] + w["n"] + length - 1]) for w in wanted if w["mark"] == mark]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names="name doc_id pos n known wide bytes".split())
+                for i, t, mark, wanted in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    out += [(w["name"], i, mark, w["pos"], w["n"], w["known"], w["wide"], t[w["pos"] : w["pos"] + w["n"] + length - 1]) for w in wanted]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names="name doc_id mark pos n known wide bytes".split())
 
     return run
 
@@ -248,13 +246,14 @@ def _extract(length: int):
 def _bucket(length: int):
     def run(t: pa.Table) -> pa.Table:
         parts, n, known = t.column("bytes").to_pylist(), t.column("n").to_pylist(), t.column("known").to_pylist()
-        ids, pos = t.column("doc_id").to_pylist(), t.column("pos").to_pylist()
+        ids, pos = list(zip(t.column("doc_id").to_pylist(), t.column("mark").to_pylist(), strict=True)), t.column("pos").to_pylist()
         out = []
         for i, p, k, hit in zip(ids, pos, known, repeated(parts, n, length=length), strict=True):
             if not k and hit.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                out += [(i, p + s, e - s) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        return pa.table({"doc_id": pa.array([x[0] for x in out], pa.int64()), "pos": pa.array([x[1] for x in out], pa.int32()), "n": pa.array([x[2] for x in out], pa.int32())})
+                out += [(*i, p + s, e - s) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "pos": pa.int32(), "n": pa.int32()}
+        return pa.table({c: pa.array([x[k] for x in out], kind) for k, (c, kind) in enumerate(kinds.items())})
 
     return run
 
@@ -275,7 +274,7 @@ def _stretches(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[] for _ in range(9)]
+            out = [[] for _ in range(10)]
             for r in b.to_pylist():
                 text, at = np.frombuffer(r["bytes"], np.uint8), np.arange(r["n"])
                 stand = np.flatnonzero(gram_hashes(text, gram).view(np.int64) == r["name"])
@@ -287,27 +286,27 @@ def _stretches(length: int, gram: int):
                 last = q[first] - (q - at)[first] // STEP * STEP  # the block's last possible start
                 core = roll.of(last, last - STEP + 1 + length)
                 whole = roll.of(first, first + count + length - 1)
-                for col, x in zip(out, (np.full(len(first), r["doc_id"]), np.full(len(first), r["pos"]), first + r["pos"], count, *core, *whole, np.full(len(first), r["known"])), strict=True):
+                for col, x in zip(out, (np.full(len(first), r["doc_id"]), np.full(len(first), r["mark"]), np.full(len(first), r["pos"]), first + r["pos"], count, *core, *whole, np.full(len(first), r["known"])), strict=True):
                     col.append(x)
-            kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int64, np.int32, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *c]).astype(k)) for c, k in zip(out, kinds, strict=True)], names="doc_id seg pos n core core_chk h chk known".split())
+            kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int64, np.int32, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *c]).astype(k)) for c, k in zip(out, kinds, strict=True)], names="doc_id mark seg pos n core core_chk h chk known".split())
 
     return run
 
 
 def _hashes(length: int):
-    """Each window's hash, of blocks (pos, n, known) of segments: (doc_id, seg, bytes, wanted)."""
+    """Each window's hash, of blocks (pos, n, known) of segments: (doc_id, mark, seg, bytes, wanted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [[np.zeros(0, k)] for k in (np.int64, np.int32, np.int64, np.int32, bool)]
+            cols = [[np.zeros(0, k)] for k in (np.int64, np.int32, np.int64, np.int64, np.int32, bool)]
             for r in b.to_pylist():
                 roll = Rolling(np.frombuffer(r["bytes"], np.uint8))
                 for w in r["wanted"]:
                     at = np.arange(w["n"]) + w["pos"] - r["seg"]
-                    for col, x in zip(cols, (*roll.of(at, at + length), np.full(len(at), r["doc_id"]), (at + r["seg"]).astype(np.int32), np.full(len(at), w["known"])), strict=True):
+                    for col, x in zip(cols, (*roll.of(at, at + length), np.full(len(at), r["doc_id"]), np.full(len(at), r["mark"]), (at + r["seg"]).astype(np.int32), np.full(len(at), w["known"])), strict=True):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names="h chk doc_id pos known".split())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names="h chk doc_id mark pos known".split())
 
     return run
 
@@ -337,50 +336,51 @@ def _cut(length: int, with_text: bool):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) and with with_text kept (bytes)."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
-    docs = keyed_text(docs, id_col, text_col)
+    docs = with_mark(keyed_text(docs, id_col, text_col))
     some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    segs = scratch.write(some.mapInArrow(_segments(length, gram), "name long, h long, chk int, doc_id long, mark int, pos int, n int, inner boolean"), "segs")
+    segs = scratch.write(some.mapInArrow(_segments(length, gram), "name long, h long, chk int, doc_id long, mark long, pos int, n int, inner boolean"), "segs")
     kinds = scratch.write(segs.groupBy("name", "h", "chk", "n").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "mark", "pos")).alias("first"), F.max("inner").alias("inner")), "kinds")
     copied = kinds.where("copies > 1").select("h", "chk", "n")
     # phrases that are equal
-    equal = _matching(segs.select("h", "chk", "n", "doc_id", "pos"), copied, ["h", "chk", "n"]).select("doc_id", "pos", "n")
+    equal = _matching(segs.select("h", "chk", "n", "doc_id", "mark", "pos"), copied, ["h", "chk", "n"]).select("doc_id", "mark", "pos", "n")
     equal = scratch.write(equal, "equal")
     scratch.drop("segs")
     # different phrases of one name
     names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.max(F.expr("inner AND copies = 1")).alias("inner")).where("kinds > 1 OR inner").select("name", "kinds")
     fine = skew_join(kinds.select("name", "first", "n", (F.col("copies") > 1).alias("known")), names, "name")
-    fine = fine.select("first.doc_id", F.struct("first.mark", "name", "first.pos", "n", "known", (F.col("kinds") > hot).alias("wide")).alias("w"))
-    fine = fine.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    parts = some.join(fine, "doc_id").mapInArrow(_extract(length), "name long, doc_id long, pos int, n int, known boolean, wide boolean, bytes binary")
+    fine = fine.select("first.doc_id", "first.mark", F.struct("name", "first.pos", "n", "known", (F.col("kinds") > hot).alias("wide")).alias("w"))
+    fine = fine.groupBy("doc_id", "mark").agg(F.collect_list("w").alias("wanted"))
+    parts = some.join(fine, ["doc_id", "mark"]).select("doc_id", "text", "mark", "wanted").mapInArrow(_extract(length), "name long, doc_id long, mark long, pos int, n int, known boolean, wide boolean, bytes binary")
     parts = scratch.write(parts, "parts")
     scratch.drop("kinds")
     total = parts.where("NOT wide").agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // bucket_bytes))
-    merged = parts.where("NOT wide").dropDuplicates(["doc_id", "pos", "n", "name"]).groupBy(F.pmod(F.xxhash64("name"), F.lit(buckets)).alias("bucket")).applyInArrow(_bucket(length), "doc_id long, pos int, n int")
+    merged = parts.where("NOT wide").dropDuplicates(["doc_id", "mark", "pos", "n", "name"]).groupBy(F.pmod(F.xxhash64("name"), F.lit(buckets)).alias("bucket")).applyInArrow(_bucket(length), "doc_id long, mark long, pos int, n int")
     wide = _hot_repeats(parts.where("wide"), length, gram, scratch)
-    spans = scratch.write(equal.unionByName(merged).unionByName(wide).groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("found")), "spans")
+    spans = scratch.write(equal.unionByName(merged).unionByName(wide).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("pos", "n")).alias("found")), "spans")
     scratch.drop("equal", "parts", "wide", "blocks", "live", "wholes")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return docs.join(spans, "doc_id", "left").mapInArrow(_cut(length, with_text), schema)
+    return docs.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "found").mapInArrow(_cut(length, with_text), schema)
 
 
 def _hot_repeats(parts: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, pos, n) of the windows that repeat in segments of hot names: whole blocks, then the single
+    """(doc_id, mark, pos, n) of the windows that repeat in segments of hot names: whole blocks, then the single
     windows of blocks whose core repeats while the whole doesn't (one copy of each whole beside them)."""
-    blocks = scratch.write(parts.mapInArrow(_stretches(length, gram), "doc_id long, seg int, pos int, n int, core long, core_chk int, h long, chk int, known boolean"), "blocks")
+    blocks = scratch.write(parts.mapInArrow(_stretches(length, gram), "doc_id long, mark long, seg int, pos int, n int, core long, core_chk int, h long, chk int, known boolean"), "blocks")
     cores = blocks.groupBy(F.col("core").alias("h"), F.col("core_chk").alias("chk")).count().where("count > 1").select("h", "chk")
-    by_core = blocks.select("doc_id", "seg", "pos", "n", F.col("core").alias("h"), F.col("core_chk").alias("chk"), "known", F.struct("h", "chk").alias("whole"))
-    live = scratch.write(_matching(by_core, cores, ["h", "chk"]).select("doc_id", "seg", "pos", "n", "whole.h", "whole.chk", "known"), "live")
-    sizes = live.groupBy("h", "chk", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "seg", "pos")).alias("first"))
+    by_core = blocks.select("doc_id", "mark", "seg", "pos", "n", F.col("core").alias("h"), F.col("core_chk").alias("chk"), "known", F.struct("h", "chk").alias("whole"))
+    live = scratch.write(_matching(by_core, cores, ["h", "chk"]).select("doc_id", "mark", "seg", "pos", "n", "whole.h", "whole.chk", "known"), "live")
+    sizes = live.groupBy("h", "chk", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "mark", "seg", "pos")).alias("first"))
     sizes = scratch.write(sizes, "wholes")
-    whole = _matching(live.where("NOT known"), sizes.where("c > 1").select("h", "chk", "n"), ["h", "chk", "n"]).select("doc_id", "pos", "n")
-    alone = _matching(live, sizes.where("c = 1").select("h", "chk", "n"), ["h", "chk", "n"]).select("doc_id", "seg", "pos", "n", "known")
+    whole = _matching(live.where("NOT known"), sizes.where("c > 1").select("h", "chk", "n"), ["h", "chk", "n"]).select("doc_id", "mark", "pos", "n")
+    alone = _matching(live, sizes.where("c = 1").select("h", "chk", "n"), ["h", "chk", "n"]).select("doc_id", "mark", "seg", "pos", "n", "known")
     one = sizes.where("c > 1").select("first.*", "n", F.lit(True).alias("known"))
-    wanted = alone.unionByName(one).groupBy("doc_id", "seg").agg(F.collect_list(F.struct("pos", "n", "known")).alias("wanted"))
-    rows = parts.select("doc_id", F.col("pos").alias("seg"), "bytes").dropDuplicates(["doc_id", "seg"]).join(wanted, ["doc_id", "seg"]).select("doc_id", "seg", "bytes", "wanted")
-    windows = scratch.write(rows.mapInArrow(_hashes(length), "h long, chk int, doc_id long, pos int, known boolean"), "wide")
+    wanted = alone.unionByName(one).groupBy("doc_id", "mark", "seg").agg(F.collect_list(F.struct("pos", "n", "known")).alias("wanted"))
+    rows = parts.select("doc_id", "mark", F.col("pos").alias("seg"), "bytes").dropDuplicates(["doc_id", "mark", "seg"]).join(wanted, ["doc_id", "mark", "seg"])
+    rows = rows.select("doc_id", "mark", "seg", "bytes", "wanted")
+    windows = scratch.write(rows.mapInArrow(_hashes(length), "h long, chk int, doc_id long, mark long, pos int, known boolean"), "wide")
     often = windows.groupBy("h", "chk").agg(F.count("*").alias("c")).where("c > 1").select("h", "chk")
-    single = _matching(windows.where("NOT known").select("h", "chk", "doc_id", "pos"), often, ["h", "chk"]).select("doc_id", "pos", F.lit(1).alias("n"))
+    single = _matching(windows.where("NOT known").select("h", "chk", "doc_id", "mark", "pos"), often, ["h", "chk"]).select("doc_id", "mark", "pos", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 
