@@ -1,15 +1,18 @@
 """Media columns: interleaved document sequences.
 
 `parse_sequences` turns HTML into ordered structs: a run of text, or a media reference with its caption
-(the figure's figcaption, else the alt text). `resolve` joins references with a media table by digest;
-positions and captions stay with their references, so the order is that of the page. Media are stored
-as 8-bit greyscale PNG, 64 samples a row: any bytes whose length is a positive multiple of 64.
+(the figure's figcaption wherever it stands in the figure, else the alt text). `resolve` joins references
+with a media table by digest; positions and captions stay with their references, so the order is that of
+the page. Media are stored as 8-bit greyscale PNG, 64 samples a row: any bytes whose length is a positive
+multiple of 64. `render_pages` lays a text out as a page, its lines as paragraphs around its media.
 
 The digest join never carries payloads: what is asked of a payload is computed where it is stored, once
 a digest, and only those columns meet the references (hot digests by broadcast, see skew_join).
+`outline` replaces texts by their length and digest where a join need not carry them either.
 
 Defined cases: null or empty HTML gives an empty sequence; a reference without stored media stays, with
-null columns, as does a document without id; an empty payload is stored as one row of zeros; equal payloads share a digest.
+null columns, and null or equal ids are told apart by their sequences; a figcaption in a figure without
+media is text; an empty payload is stored as one row of zeros; equal payloads share a digest.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed_text, skew_join, strings, table, texts
+from .common import Scratch, bound_batches, keyed_text, skew_join, strings, table, texts
 
 ROW = 64
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -76,11 +79,14 @@ def from_png(data: bytes) -> bytes:
 
 
 class _Sequence(HTMLParser):
+    """Collects text and media in page order; a figure's caption is given out when the figure ends."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self.text: list[str] = []
-        self.hidden, self.figure, self.caption = 0, None, None
+        self.hidden, self.caption = 0, None
+        self.figures: list[dict] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -97,14 +103,13 @@ class _Sequence(HTMLParser):
             got = dict(attrs)
             if got.get("src"):
                 self.flush()
-                ref = got["src"]
-                self.out.append({"kind": "media", "text": None, "ref": ref.removeprefix("sha256:"), "caption": got.get("alt")})
-                if self.figure is not None:
-                    self.figure.append(len(self.out) - 1)
+                self.out.append({"kind": "media", "text": None, "ref": got["src"].removeprefix("sha256:"), "caption": got.get("alt")})
+                if self.figures:
+                    self.figures[-1]["media"].append(self.out[-1])
         elif tag in BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figures.append({"media": [], "captions": []})
             elif tag == "figcaption":
                 self.caption = []
 
@@ -113,17 +118,36 @@ class _Sequence(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         elif self.hidden:
             return
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            if self.figure:
-                for k in self.figure:
-                    self.out[k]["caption"] = text
-            elif text:
-                self.out.append({"kind": "text", "text": text, "ref": None, "caption": None})
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = None
+                self.end_figure()
+
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        self.flush()
+        self.text, self.caption = self.caption, None
+        before = len(self.out)
+        self.flush()  # as a text for now
+        if self.figures:
+            self.figures[-1]["captions"] += self.out[before:]
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        if self.figures and (done := self.figures.pop())["media"] and done["captions"]:
+            told = {id(x) for x in done["captions"]}
+            self.out = [x for x in self.out if id(x) not in told]
+            for x in done["media"]:
+                x["caption"] = " ".join(c["text"] for c in done["captions"])
+
+    def close(self) -> None:
+        super().close()
+        self.flush()
+        while self.figures or self.caption is not None:
+            self.end_figure()
 
     def handle_data(self, data) -> None:
         if not self.hidden:
@@ -135,7 +159,6 @@ def sequence(page: str) -> list[dict]:
     p = _Sequence()
     p.feed(page)
     p.close()
-    p.flush()
     return [{"pos": i, **x} for i, x in enumerate(p.out)]
 
 
@@ -143,33 +166,56 @@ _ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.strin
 _ITEM_SQL = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>"
 
 
-def parse_sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(doc_id, items): the page's interleaved sequence."""
+def parse_sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns to keep, items): the page's interleaved sequence."""
+    rows = pages.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).cast("string").alias("html"), *keep)
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sequence(x) for x in strings(b)], pa.list_(_ITEM))], names=["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array([sequence(x) for x in strings(b)], pa.list_(_ITEM))], names=["doc_id", *keep, "items"])
+
+    return rows.mapInArrow(run, "doc_id long, " + "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keep) + f"items {_ITEM_SQL}")
 
-    return keyed_text(pages, id_col, html_col).mapInArrow(run, f"doc_id long, items {_ITEM_SQL}")
 
+def outline(sequences: DataFrame) -> DataFrame:
+    """Sequences whose texts are replaced by their length and digest."""
+    brief = lambda t: F.concat_ws(":", F.length(t), F.substring(F.sha2(t, 256), 1, 16))
+    return sequences.withColumn("items", F.transform("items", lambda i: i.withField("text", F.when(i["text"].isNotNull(), brief(i["text"])))))
 
-def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, html, digest, media): each text's padded bytes as PNG under their SHA-256, and a page that
-    shows it with a caption."""
+
+def store_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(digest, media): each text's padded bytes as PNG under their SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                pages, digests, media = [], [], []
-                for data in texts(b):
-                    payload = padded(data)
-                    digests.append(hashlib.sha256(payload).hexdigest())
-                    media.append(to_png(payload))
-                    pages.append(f'<article><h1>{len(data)} bytes</h1><figure><img src="sha256:{digests[-1]}"><figcaption>{htmllib.escape(f"{len(data)} of {len(payload)} bytes")}</figcaption></figure></article>')
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
+            for at in range(0, batch.num_rows, 500):
+                payloads = [padded(x) for x in texts(batch.slice(at, 500), 0)]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([to_png(p) for p in payloads], pa.binary())], names=["digest", "media"])
+
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "digest string, media binary")
+
+
+def page(text: bytes) -> str:
+    """A text as HTML: its lines as paragraphs, and behind the first one a figure with its stored media."""
+    payload = padded(text)
+    lines = [f"<p>{htmllib.escape(x)}</p>" for x in text.decode().split("\n") if x.strip()]
+    figure = f'<figure><img src="sha256:{hashlib.sha256(payload).hexdigest()}"><figcaption>{len(text)} of {len(payload)} bytes</figcaption></figure>'
+    return "".join(["<article>", *lines[:1], figure, *lines[1:], "</article>"])
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, html string, digest string, media binary")
+
+def render_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, html): each document as a page that interleaves its text and its media."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                data = texts(b)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array([page(x) for x in data], pa.string())], names=["doc_id", "n_bytes", "html"])
+
+    return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, html string")
 
 
 PROPERTIES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, look string"
@@ -194,30 +240,28 @@ def media_properties(media: DataFrame, digest_col: str = "digest", media_col: st
     return each.groupBy("digest").agg(F.first(F.struct(*names)).alias("p")).select("digest", "p.*")
 
 
-def references(sequences: DataFrame) -> DataFrame:
-    """(doc_id, pos, digest, caption) of the media references."""
-    x = sequences.select("doc_id", F.explode("items").alias("i")).where("i.kind = 'media'")
-    return x.select("doc_id", "i.pos", F.col("i.ref").alias("digest"), "i.caption")
-
-
 def resolve(sequences: DataFrame, properties: DataFrame) -> DataFrame:
-    """Sequences with each reference's media columns: (doc_id, items), in page order; unresolved references
-    and texts have null there. Documents without items keep their row (empty)."""
-    refs = references(sequences)
-    found = skew_join(refs, properties, "digest")
+    """Sequences with each reference's media columns, in page order; unresolved references and texts have null
+    there. Documents without items keep their row (empty), as do all other columns."""
+    # rows with one id and equal items get equal media, so the two name a row
+    rows = sequences.withColumn("_mark", F.xxhash64("items"))
+    refs = rows.select("doc_id", "_mark", F.explode("items").alias("i")).where("i.ref IS NOT NULL").select("doc_id", "_mark", F.col("i.ref").alias("digest"))
     names = [c for c in properties.columns if c != "digest"]
-    by_doc = found.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.struct("pos", F.col("digest").alias("ref")), F.struct(*names)))).alias("m"))
-    out = sequences.join(by_doc, "doc_id", "left")
-    return out.select("doc_id", F.transform("items", lambda i: F.struct(i["pos"].alias("pos"), i["kind"].alias("kind"), i["text"].alias("text"), i["ref"].alias("ref"), i["caption"].alias("caption"), F.element_at("m", F.struct(i["pos"].alias("pos"), i["ref"].alias("ref"))).alias("media"))).alias("items"))
+    found = skew_join(refs, properties, "digest").groupBy(F.col("doc_id").alias("_id"), F.col("_mark").alias("_row"))
+    found = found.agg(F.map_from_entries(F.collect_set(F.struct("digest", F.struct(*names)))).alias("_media"))
+    out = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_mark"] == found["_row"]), "left")
+    items = F.transform("items", lambda i: F.struct(*(i[c].alias(c) for c in ("pos", "kind", "text", "ref", "caption")), F.element_at("_media", i["ref"]).alias("media")))
+    return out.select(*(c for c in sequences.columns if c != "items"), items.alias("items"))
 
 
 def op1_media_columns(spark, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "media")
-    stored = scratch.write(store_media(table(spark, sf_dir, "documents")), "stored")
-    refs = scratch.write(references(parse_sequences(stored, "doc_id", "html")), "refs")
-    properties = scratch.write(media_properties(stored), "properties")
-    found = skew_join(refs, properties, "digest")
+    scratch, docs = Scratch(spark, "media"), table(spark, sf_dir, "documents")
+    properties = scratch.write(media_properties(scratch.write(store_media(docs), "stored")), "properties")
+    scratch.drop("stored")
+    sequences = scratch.write(outline(parse_sequences(render_pages(docs), "doc_id", "html", ("n_bytes",))), "sequences")
+    found = resolve(sequences, properties).withColumn("m", F.filter("items", lambda i: i["kind"] == "media")[0])
+    texts_seen = F.concat_ws(",", F.transform("items", lambda i: i["text"]))
     return found.select(
-        "doc_id", F.regexp_extract("caption", r"^(\d+) of", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        F.concat_ws(" ", F.concat(F.lit("at "), F.col("pos")), "look", "caption").alias("feature"),
+        "doc_id", "n_bytes", "m.media.payload_bytes", "m.media.payload_sha256", "m.media.tail_crc32", "m.media.media_bytes", "m.media.media_sha256",
+        F.concat_ws(" ", F.lit("at"), "m.pos", F.lit("of"), F.size("items"), "m.media.look", "m.caption", F.substring(F.sha2(texts_seen, 256), 1, 16)).alias("feature"),
     )
