@@ -6,8 +6,9 @@ before it is consumed, is taken by a rule of higher priority with what follows,
 rise strictly along such a chain. `lookahead` follows all chains through the merge list (a dynamic
 programme in order of rank) and gives the number of symbols behind a token after which it is stable.
 The transducer holds a buffer of a few lookaheads, merges it, emits the tokens that end a lookahead
-before its end, and reads on; so its memory does not grow with the text. White-space runs and word
-classes, which never cross a merge, are found while the text streams through.
+before its end, and reads on; so its memory does not grow with the text. A text is normalised and cut
+into words slice by slice (slices end at a blank or line feed, which nothing composes with), so beside the
+text itself only a slice, or a longer run without blanks, is held.
 
 Decoding. A state machine over bytes takes token by token: bytes go to an incremental UTF-8 state that
 emits characters once complete; a word-end mark emits a space before the next token's first byte.
@@ -34,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed_text
+from .common import keyed_text, table
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE, BLOCK = 120_000, 4096
@@ -192,8 +193,26 @@ class Codec:
     def word_tokens(self, word: str) -> Iterator[str]:
         return self.merges.stream(self.symbols(word))
 
-    def normal_chunks(self, text: str) -> Iterator[str]:
-        """Runs without white space of the normalised text."""
+    def slices(self, text: str, most: int = 1 << 16) -> Iterator[str]:
+        """The special strings of a text and what lies between them, in slices of about `most` characters that
+        end before a blank or line feed."""
+        last = 0
+        cuts = [(m.start(), m.end()) for m in self.special_re.finditer(text)] if "<|" in text else []
+        for start, stop in (*cuts, (len(text), len(text))):
+            while start - last > most:
+                end = max(text.rfind(" ", last + 1, last + most), text.rfind("\n", last + 1, last + most))
+                if end < 0:
+                    end = min((x for x in (text.find(" ", last + most, start), text.find("\n", last + most, start)) if x >= 0), default=start)
+                yield text[last:end]
+                last = end
+            if last < start:
+                yield text[last:start]
+            if start < stop:
+                yield text[start:stop]
+            last = stop
+
+    def normal_chunks(self, text: str) -> list[str]:
+        """Runs without white space of a normalised slice."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # letter by letter, so no final sigma
@@ -203,7 +222,7 @@ class Codec:
 
     def encode(self, text: str) -> Iterator[tuple[int, str]]:
         """(id, token) in order; nothing is held but the current chunk's buffer."""
-        for part in self.special_re.split(text) if "<|" in text else (text,):
+        for part in self.slices(text):
             if part in self.specials:
                 yield self.specials[part], part
                 continue
@@ -253,7 +272,7 @@ class Codec:
     def emitted(self, text: str, most: int = BLOCK) -> Iterator[tuple[list[int], str]]:
         """(ids, the words they stand for joined by a space) in order, in blocks that end once `most` ids are full."""
         ids, words, known = [], [], self._known.get
-        for part in self.special_re.split(text) if "<|" in text else (text,):
+        for part in self.slices(text):
             if part in self.specials:
                 ids.append(self.specials[part])
                 words.append(part)
@@ -269,16 +288,18 @@ class Codec:
         if ids:
             yield ids, " ".join(words)
 
-    def digest(self, text: str) -> tuple[int, str, str, bool, list[int]]:
-        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text, restored, ids). What is decoded and restored
-        comes from the emitted ids alone; restored tells whether it is the text's words."""
-        out, coded, decoder, restored, gap = [], hashlib.sha256(), Decoder(self), True, ""
+    def digest(self, text: str, with_ids: bool = True) -> tuple[int, str, str, bool, list[int]]:
+        """(tokens, SHA-256 of the ids, SHA-256 of the decoded text, restored, ids if asked for). What is decoded
+        and restored comes from the emitted ids alone; restored tells whether it is the text's words."""
+        n, out, coded, decoder, restored, gap = 0, [], hashlib.sha256(), Decoder(self), True, ""
         for ids, words in self.emitted(text):
             coded.update(gap.encode() + b" ".join([self.digits[i] for i in ids]))
             restored &= decoder.feed(ids) == gap + words
-            out += ids
+            n += len(ids)
+            if with_ids:
+                out += ids
             gap = " "
-        return len(out), coded.hexdigest(), decoder.decoded.hexdigest(), restored and not decoder.end(), out
+        return n, coded.hexdigest(), decoder.decoded.hexdigest(), restored and not decoder.end(), out
 
 
 class Decoder:
@@ -347,7 +368,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col=
         c = codec(path)
         for batch, at in ((x, k) for x in batches for k in range(0, x.num_rows, 500)):
             b = batch.slice(at, 500)
-            rows = [c.digest(t or "") for t in b.column(1).to_pylist()]
+            rows = [c.digest(t or "", with_ids) for t in b.column(1).to_pylist()]
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_()))]
             if with_ids:
                 flat = np.concatenate([np.array(r[4], np.int32) for r in rows])
@@ -359,6 +380,4 @@ def digests(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col=
 
 
 def op5_bpe_codec(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return digests(table(spark, sf_dir, "documents"))
