@@ -326,11 +326,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     for label in (0, 1):
         ids += known.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
     few = spark.createDataFrame(ids, "doc_id long, y int")
-    rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
-    one = {}
-    for r in rows.collect():
-        one[r.doc_id] = min(one.get(r.doc_id, (r.text or "", r.y)), (r.text or "", r.y))
-    return [(k, *v) for k, v in sorted(one.items())], counts
+    # an id that stands in several rows teaches by its least text, so the driver holds one row an id
+    rows = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return sorted((r.doc_id, r.text, r.y) for r in rows.collect()), counts
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_id="doc_id", label_col="toxic", held_out=None, per_class: int = PER_CLASS, with_row: bool = False) -> DataFrame:
