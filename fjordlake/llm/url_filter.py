@@ -1,11 +1,13 @@
 """URL filters: a weighted vocabulary found by Aho-Corasick, behind explicit host and path rules.
 
-Every term occurrence in the lower-cased url must stand between boundaries (no ASCII letter or digit
+Every term occurrence in the url (A-Z lower-cased) must stand between boundaries (no ASCII letter or digit
 beside it). One strict term rejects a url; so do `soft_limit` different soft terms. Rules on host and
 path come first; the longest that fits decides.
 
 Defined cases: a null url, or one without "://", has empty host and path, so no rule fits it, and no
 vocabulary hit unless its text has one (null: none; verdict allow). Repeated rows are judged alike.
+Columns of the input that bear a result's name (host, path, rule, verdict, n_strict, soft_terms, in any
+case) give way to the result, unless the url itself lies there: then its column is kept under `_url`.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from .common import table
 
 STRICT_TERMS = ("porn", "xxx", "escort", "viagra", "warez", "casino", "spam-farm", "malware")
 SOFT_TERMS = ("cheap", "pills", "spam", "farm", "free", "bonus", "bet", "adult", "click", "win", "loan", "crack", "hot")
@@ -41,13 +46,17 @@ def automaton(strict=STRICT_TERMS, soft=SOFT_TERMS):
     return a
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+RESULTS = ("host", "path", "rule", "n_strict", "soft_terms", "verdict")
+
+
 def _inner(c: str) -> bool:
     return "a" <= c <= "z" or "0" <= c <= "9"
 
 
 def term_hits(a, url: str) -> tuple[int, set[str]]:
     """Number of strict occurrences, and the different soft terms, between boundaries."""
-    low, n_strict, soft = url.lower(), 0, set()
+    low, n_strict, soft = url.translate(_LOWER), 0, set()
     for end, (term, is_strict) in a.iter(low):
         start = end + 1 - len(term)
         if (start and _inner(low[start - 1])) or (end + 1 < len(low) and _inner(low[end + 1])):
@@ -61,8 +70,6 @@ def term_hits(a, url: str) -> tuple[int, set[str]]:
 
 def vocabulary_hits(df: DataFrame, url_col: str = "url", strict=STRICT_TERMS, soft=SOFT_TERMS) -> DataFrame:
     """df with n_strict (int), soft_terms (array of different terms, sorted), in one Arrow pass."""
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-
     schema = StructType([*df.schema.fields, StructField("n_strict", IntegerType()), StructField("soft_terms", ArrayType(StringType()))])
     at = df.columns.index(url_col)
 
@@ -87,6 +94,9 @@ def url_parts(url):
 
 def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, strict=STRICT_TERMS, soft=SOFT_TERMS, soft_limit: int = SOFT_LIMIT) -> DataFrame:
     """df with host, path, rule (null where none fits), n_strict, soft_terms and verdict."""
+    if url_col.lower() in RESULTS:
+        df, url_col = df.drop("_url").withColumnRenamed(url_col, "_url"), "_url"
+    df = df.drop(*(c for c in df.columns if c.lower() in RESULTS))
     host, path = url_parts(F.col(url_col))
     out = vocabulary_hits(df, url_col, strict, soft).withColumn("host", host).withColumn("path", path)
     rule, ruled = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -98,18 +108,16 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, strict=STRICT_
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", F.col("n_strict"), F.size("soft_terms").alias("n_soft"))
 
 
 def _sql() -> str:
-    hit = lambda t: f"regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
+    hit = lambda t: f"regexp_matches(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
     count = lambda terms: " + ".join(f"({hit(t)})::INT" for t in terms)
     # Occurrences of a strict term that may share a boundary character: look-around free, so counted
     # by splitting each boundary character in two first.
-    doubled = "regexp_replace(lower(coalesce(url, '')), '([^a-z0-9])', '\\1\\1', 'g')"
+    doubled = "regexp_replace(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([^a-z0-9])', '\\1\\1', 'g')"
     occ = lambda t: f"len(regexp_extract_all({doubled}, '(^|[^a-z0-9]){t.replace('-', '--')}($|[^a-z0-9])'))"
     strict = " + ".join(occ(t) for t in STRICT_TERMS)
     fits = "".join(
