@@ -2,7 +2,9 @@
 rows, empty tables, extra columns with names that the operators use themselves."""
 
 import hashlib
+import html
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -53,7 +55,8 @@ def key(x):
 
 
 def same(got, want):
-    assert sorted(got, key=key) == sorted(want, key=key)
+    rows = lambda x: sorted((y if isinstance(y, tuple) else (y,) for y in x), key=key)
+    assert rows(got) == rows(want)
 
 
 def test_empty_tables(spark, docs):
@@ -111,6 +114,37 @@ def test_near_duplicate_chain(spark):
     same(map(tuple, near_dedup.near_duplicates(df).collect()), near_brute(list(enumerate(chain))))
 
 
+def test_common_counts():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 40, 300):
+        lists = [np.unique(np.concatenate([r.integers(0, 30, 12), r.integers(0, 4000, r.integers(0, 60))])) for _ in range(n)]
+        lists[0] = lists[0][:0]
+        left = np.flatnonzero(r.random(n) < 0.7)
+        got = {i: np.delete(x, i).astype(int).tolist() for i, x in near_dedup.common_counts(lists, left)}
+        assert got == {i: [len(np.intersect1d(lists[i], x)) for k, x in enumerate(lists) if k != i] for i in left.tolist()}
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """A large group of copies about the threshold, whose buckets are dealt over several blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    r = random.Random(11)
+    base, rows = [f"b{k}" for k in range(90)], []
+    for k in range(160):
+        w = list(base)
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(90)] = f"x{r.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    want = near_brute(rows)
+    assert len({x[2] for x in want}) > 8
+    same(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), want)
+
+
+def test_near_duplicates_of_null_and_equal_ids(spark):
+    say = lambda a, b: " ".join(WORDS[a:b])
+    rows = [(None, say(0, 40)), (None, say(1, 41)), (None, say(1, 41)), (3, say(100, 150)), (3, say(101, 151)), (3, None), (2, say(99, 149)), (4, "É x"), (5, "é X"), (6, "É X")]
+    same(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), near_brute(rows))
+
+
 def test_super_minhash_estimates_and_stops_early():
     r = np.random.default_rng(5)
     x = near_dedup.mix(r.integers(0, 1 << 60, 1500).astype(np.uint64))
@@ -141,9 +175,8 @@ def test_components(spark):
     same(map(tuple, got.collect()), [(x, root(x)) for x in nodes])
 
 
-def test_suffix_dedup(docs):
-    unique = docs.where("doc_id NOT IN (3, 7)")
-    rows, want = pairs(unique), []
+def suffix_brute(rows):
+    want = []
     data = [(t or "").encode() for _, t in rows]
     seen = Counter(d[k : k + 200] for (i, _), d in zip(rows, data, strict=True) if i is not None for k in range(len(d) - 199))
     for (i, _), d in zip(rows, data, strict=True):
@@ -153,8 +186,12 @@ def test_suffix_dedup(docs):
                 mark[k : k + 200] = b"\1" * 200
         kept = bytes(x for x, m in zip(d, mark, strict=True) if not m)
         want.append((i, len(d), sum(mark), len(bytes(mark).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()))
+    return want
+
+
+def test_suffix_dedup(docs):
     for hot in (2000, 1):  # by merged transforms, and by hashes as for hot names
-        same(map(tuple, suffix_dedup.suffix_dedup(unique, hot=hot).collect()), want)
+        same(map(tuple, suffix_dedup.suffix_dedup(docs, hot=hot).collect()), suffix_brute(pairs(docs)))
 
 
 def test_repeats_inside_one_text(spark):
@@ -222,12 +259,9 @@ def test_drop_repeats_keeps_columns(docs):
     assert Counter(r.text for r in out.collect()) == want
 
 
-def test_contamination(spark, docs):
-    items = [(1, corpus()[4]), (2, "one"), (3, None), (4, "..."), (None, "a b c d"), (5, " ".join(WORDS[:30])), (5, "ha ha"), (6, corpus()[-5])]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    split = decontaminate.words
-    want = []
-    for i, t in pairs(docs):
+def contamination_brute(rows, items):
+    split, want = decontaminate.words, []
+    for i, t in rows:
         w = split((t or "").encode())
         mark, found = [0] * len(w), set()
         for item, text in items:
@@ -239,9 +273,39 @@ def test_contamination(spark, docs):
                     mark[k : k + n] = [1] * n
                     found.add(item)
         want.append((i, len(w), sum(mark), sorted(found), sum(mark) > 0 and 20 * sum(mark) >= len(w)))
+    return want
+
+
+def judged(df):
+    return [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate.judged(df).collect()]
+
+
+def test_one_id_with_several_texts(spark):
+    """Texts under one id are judged each by its own, in every operator and block size."""
+    say = lambda a, b: " ".join(WORDS[a:b])
+    p = say(0, 70)
+    rows = [(1, p), (5, f"{say(100, 160)} {p}"), (5, "short text here"), (5, None), (5, f"{p} {say(200, 220)}"), (6, p), (6, p), (None, f"{p} x"), (None, say(300, 340)), (None, p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (2000, 1):
+        same(map(tuple, suffix_dedup.suffix_dedup(df, hot=hot).collect()), suffix_brute(rows))
+    want = substring_brute(rows)
+    same(map(tuple, substring_dedup.substring_dedup(df, with_text=True).collect()), want)
+    same([(r.doc_id, r.text) for r in substring_dedup.drop_repeats(df).collect()], [(i, x[4] if x[2] else t) for (i, t), x in zip(rows, want, strict=True)])
+    items = [(0, say(0, 13)), (1, say(20, 33)), (2, say(40, 53)), (3, say(300, 313))]
+    # two texts of one length under one id, and under no id, with different hits
+    texts = [f"{say(0, 13)} {say(20, 33)} {say(360, 380)}", f"{say(340, 353)} {say(40, 53)} {say(360, 380)}", f"{say(0, 46)}"]
+    rows += [(i, t) for i in (9, None) for t in texts] + [(9, texts[0])]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 400, 120):
+        same(judged(decontaminate.contamination(df, bench, block_bytes=size)), contamination_brute(rows, items))
+        same([r.text for r in decontaminate.contamination(df, bench, block_bytes=size, with_text=True).collect()], [t for _, t in rows]) if size == 120 else None
+
+
+def test_contamination(spark, docs):
+    items = [(1, corpus()[4]), (2, "one"), (3, None), (4, "..."), (None, "a b c d"), (5, " ".join(WORDS[:30])), (5, "ha ha"), (6, corpus()[-5])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (decontaminate.BLOCK_BYTES, 400):  # one broadcast, and several blocks
-        got = decontaminate.judged(decontaminate.contamination(docs, bench, block_bytes=size))
-        same([(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()], want)
+        same(judged(decontaminate.contamination(docs, bench, block_bytes=size)), contamination_brute(pairs(docs), items))
 
 
 def test_bpe(docs):
@@ -283,6 +347,30 @@ def test_digest_decodes_the_ids_it_emits(monkeypatch):
         assert got[1] == c.digest(text)[1] and got[2] == hashlib.sha256(other.decode(ids).encode()).hexdigest() != decoded and not got[3]
 
 
+def test_long_texts_are_held_slice_by_slice():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    lib, c, r = Tokenizer.from_file(bpe_codec.tokenizer_path()), bpe_codec.codec(bpe_codec.tokenizer_path()), random.Random(3)
+    bits = ["the", " ", "\n", " e\u0301", "\u0301", "Σ ", "<|endoftext|>", "ñ", "a" * 50, "\x1c", "\u3000", "'s"]
+    for most in (5, 17, 64):
+        for _ in range(60):
+            t = "".join(r.choice(bits) for _ in range(80))
+            parts = list(c.slices(t, most))
+            assert "".join(parts) == t
+            whole = lib.encode(t, add_special_tokens=False).ids
+            cut = [i for p in parts for i in ([c.specials[p]] if p in c.specials else [c.vocab[x] for k in c.normal_chunks(p) for w in c.words.findall(k) for x in c.word_tokens(w)])]
+            assert cut == whole
+    text = "some words of a long text that goes on\n" * 250_000  # 10 MB
+    c.digest(text[:1000])
+    tracemalloc.start()
+    n = c.digest(text, False)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 2_000_000 and peak < 3_000_000
+
+
 def test_lookahead_holds_little():
     c = bpe_codec.codec(bpe_codec.tokenizer_path())
     read = [0]
@@ -317,17 +405,51 @@ def test_media(spark, docs):
     with pytest.raises(ValueError):
         media.from_png(media.to_png(bytes(64))[:-1] + b"?")
     page = '<p>a</p><img src="sha256:aa" alt="x"><script>no</script><figure><img src="bb"><figcaption>cap <b>t</b></figcaption></figure>tail'
-    pages = spark.createDataFrame([(1, page), (2, None), (2, ""), (None, page)], "page_id long, html string")
+    pages = spark.createDataFrame([(1, page), (2, None), (2, ""), (None, page), (None, "<p>b</p>")], "page_id long, html string")
     stored = spark.createDataFrame([("aa", 64, "h", 1, 2, "k", "l")], media.PROPERTIES)
     got = {(r.doc_id, tuple((i.pos, i.kind, i.text, i.ref, i.caption, i.media.look if i.media else None) for i in r["items"])) for r in media.resolve(media.parse_sequences(pages), stored).collect()}
     seq = ((0, "text", "a", None, None, None), (1, "media", None, "aa", "x", "l"), (2, "media", None, "bb", "cap t", None), (3, "text", "tail", None, None, None))
-    assert got == {(1, seq), (2, ()), (None, (seq[0], seq[1][:5] + (None,), *seq[2:]))}
-    out = media.store_media(docs)
-    props = {r.digest: r for r in media.media_properties(out).collect()}
-    payloads = {hashlib.sha256(p).hexdigest(): p for p in (media.padded((t or "").encode()) for _, t in pairs(docs))}
-    assert set(props) == set(payloads)
-    for digest, p in payloads.items():
-        assert (props[digest].payload_sha256, props[digest].payload_bytes, props[digest].tail_crc32) == (digest, len(p), zlib.crc32(p[-64:]))
+    assert got == {(1, seq), (2, ()), (None, seq), (None, ((0, "text", "b", None, None, None),))}
+    assert media.resolve(media.parse_sequences(pages.limit(0)), stored.limit(0)).count() == 0
+
+
+def test_captions_stay_with_their_figures():
+    brief = lambda h: [(x["text"] or x["ref"], x["caption"]) for x in media.sequence(h)]
+    assert brief('<figure><figcaption>c <b>1</b></figcaption><img src="a"></figure>t') == [("a", "c 1"), ("t", None)]
+    assert brief('<figure><img src="a" alt="z"><p>in</p><figcaption>c</figcaption><img src="b"></figure>') == [("a", "c"), ("in", None), ("b", "c")]
+    assert brief('<figure><img src="a"><figcaption></figcaption></figure><figure><figcaption>none</figcaption></figure>') == [("a", None), ("none", None)]
+    assert brief('<figure><figure><img src="a"><figcaption>inner</figcaption></figure><img src="b"><figcaption>outer') == [("a", "inner"), ("b", "outer")]
+    assert brief('x<figcaption>stray</figcaption><img src="a" alt="k">') == [("x", None), ("stray", None), ("a", "k")]
+
+
+def test_sequences_of_real_pages(spark):
+    """Every word that a page shows is in its sequence, in order, and no other."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in media.parse_sequences(pages).join(pages, F.col("doc_id") == F.col("page_id")).collect():
+        shown = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>", " ", r.html, flags=re.S)
+        shown = html.unescape(re.sub(r"</?[a-z][^>]*>", lambda m: "" if m.group().strip("</>").split()[0] in ("b", "i", "a", "em", "span") else " ", shown))
+        assert " ".join(i.text for i in r["items"] if i.text).split() == shown.split()
+
+
+def test_media_columns_query(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = media.op1_media_columns(spark, str(tmp_path)).collect(), []
+    for i, t in pairs(docs):
+        d = (t or "").encode()
+        p = media.padded(d)
+        png = media.to_png(p)
+        want.append((i, len(d), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(png), hashlib.sha256(png).hexdigest()))
+    same([tuple(r)[:7] for r in got], want)
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[r.payload_sha256, r.n_bytes].add(r.feature)
+    assert all(len(x) == 1 and None not in x for x in by_text.values())
+    for t in ("", "one line", "a\n\nb & <c>\nd", "\n\nx"):
+        lines = [" ".join(x.split()) for x in t.split("\n") if x.strip()]
+        payload = media.padded(t.encode())
+        shown = media.sequence(media.page(t.encode()))
+        assert [x["text"] for x in shown] == [*lines[:1], None, *lines[1:]]
+        assert [(x["ref"], x["caption"]) for x in shown if x["kind"] == "media"] == [(hashlib.sha256(payload).hexdigest(), f"{len(t)} of {len(payload)} bytes")]
 
 
 def test_license_scan(spark):
@@ -344,6 +466,99 @@ def test_license_scan(spark):
         assert all(a[i] == b[j] for i, j in m) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:], strict=False))
 
 
+def test_rising_is_longest():
+    r = random.Random(8)
+    for _ in range(300):
+        pairs_ = [(k, r.randint(0, 12)) for k in range(r.randint(0, 14))]
+        best = [1] * len(pairs_)
+        for k in range(len(pairs_)):
+            best[k] = 1 + max((best[j] for j in range(k) if pairs_[j][1] < pairs_[k][1]), default=0)
+        got = license_scan.rising(pairs_)
+        assert len(got) == max(best, default=0) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:], strict=False))
+
+
+def patience_brute(a, b):
+    """The same alignment by recursion and a quadratic search; None where the longest choice isn't unique."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        rest = patience_brute(a[1:], b[1:])
+        return rest if rest is None else [(0, 0), *((i + 1, j + 1) for i, j in rest)]
+    if a[-1] == b[-1]:
+        rest = patience_brute(a[:-1], b[:-1])
+        return rest if rest is None else [*rest, (len(a) - 1, len(b) - 1)]
+    anchors = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    longest = []
+    for n in range(len(anchors), 0, -1):
+        longest = [c for c in combinations(anchors, n) if all(x[1] < y[1] for x, y in zip(c, c[1:], strict=False))]
+        if longest:
+            break
+    if len(longest) > 1:
+        return None
+    if not longest:
+        return []
+    out, kept = [], [(-1, -1), *longest[0], (len(a), len(b))]
+    for (i, j), (k, m) in zip(kept, kept[1:], strict=False):
+        rest = patience_brute(a[i + 1 : k], b[j + 1 : m])
+        if rest is None:
+            return None
+        out += [(i + 1 + x, j + 1 + y) for x, y in rest] + ([(k, m)] if k < len(a) else [])
+    return out
+
+
+def test_alignment_against_recursion():
+    r, compared = random.Random(4), 0
+    for _ in range(1500):
+        a, b = ([r.choice("abcdefghijkl") for _ in range(r.randint(0, 13))] for _ in range(2))
+        want = patience_brute(a, b)
+        if want is not None:
+            compared += 1
+            assert license_scan.align(a, b) == want
+    assert compared > 800
+
+
+def test_license_scan_against_all_windows(spark):
+    """A license is found where some stretch of the text aligns well enough; the coverage is the best of all."""
+    r = random.Random(12)
+    notices = {"one": "this code is free to use and share under the plain terms", "two": "no warranty is given of any kind at all"}
+    texts = ["", None, " ".join(notices.values())]
+    for _ in range(60):
+        w = [r.choice(["this", "code", "is", "of", "the", "kind", "foo", "bar", "at"]) for _ in range(r.randint(0, 12))]
+        for t in r.sample(list(notices.values()), r.randint(0, 2)):
+            v = t.split()
+            for _ in range(r.randint(0, 2)):
+                k = r.randrange(len(v))
+                v[k : k + 1] = r.choice([[], ["odd"], [v[k], "and"]])
+            at = r.randint(0, len(w))
+            w[at:at] = v
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("license", F.lit("x")).withColumn("start", F.lit(1))
+    got = defaultdict(dict)
+    for x in license_scan.license_scan(df, notices, 0.8).collect():
+        got[x.doc_id][x.license] = x.coverage
+        w, t = license_scan.words(texts[x.doc_id]), license_scan.words(notices[x.license])
+        assert len(license_scan.align(t, w[x.start : x.stop])) / len(t) >= 0.8
+    for k, text in enumerate(texts):
+        w = license_scan.words(text or "")
+        for name, notice in notices.items():
+            t = license_scan.words(notice)
+            best = max((len(license_scan.align(t, w[s:e])) for s in range(len(w)) for e in range(s + 1, len(w) + 1)), default=0)
+            assert (name in got[k]) == (best >= 0.8 * len(t)), (text, name)
+    long = "filler words " * 200_000 + license_scan.TEMPLATES["mit"]
+    assert [x.license for x in license_scan.license_scan(spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string")).collect()] == ["mit", "mit"]
+
+
+def test_url_filter_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "http://x.org/casino", "h", 5, "v"), (None, None, None, None, None), (None, "http://x.org/casino", "h", 5, "v")], "page_id long, url string, Host string, n_strict int, verdict string")
+    got = [(r.page_id, r.url, r.host, r.n_strict, r.verdict) for r in url_filter.filter_urls(df).collect()]
+    same(got, [(1, "http://x.org/casino", "x.org", 1, "block"), (None, None, "", 0, "allow"), (None, "http://x.org/casino", "x.org", 1, "block")])
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+    named = url_filter.filter_urls(df.select("page_id", F.col("url").alias("path")), "path")
+    same([(r._url, r.path) for r in named.collect()], [("http://x.org/casino", "/casino"), (None, ""), ("http://x.org/casino", "/casino")])
+    kelvin = url_filter.filter_urls(spark.createDataFrame([(1, "http://a.b/crac\u212a/free")], "page_id long, url string")).first()
+    assert (kelvin.soft_terms, kelvin.verdict) == (["free"], "allow")  # only A-Z are lower-cased
+
+
 def test_url_filter(spark):
     urls = ["http://WWW.Example.com/en/1?x", "http://a.example.com/en/", "http://b.net/es/x#y", "net/es/", None, "x://net/fr/", "http://casino.org/", "http://casinos.org/", "http://x.org/cheap-cheap", "http://x.org/cheap-pills", "http://h.com", "a://b://c/d"]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
