@@ -78,18 +78,17 @@ def hot_keys(left: DataFrame, key: str, per: int = 2000, least: int = 1000) -> D
     return left.groupBy(key).count().where(F.col("count") > max(least, n // per)).select(key)
 
 
-def hot_of(counts: DataFrame, key: str, n: str, per: int = 2000, least: int = 1000) -> DataFrame:
-    """hot_keys from a table of counts (key, n), one row a key."""
+def hot_of(counts: DataFrame, key: str, n: str, per: int = 2000, least: int = 1000) -> list:
+    """The hot keys (see hot_keys) by a table of counts (key, n), one row a key."""
     total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    found = counts.where(F.col(n) > max(least, total // per)).select(key)
-    return counts.sparkSession.createDataFrame(found.collect(), found.schema)
+    return [r[0] for r in counts.where(F.col(n) > max(least, total // per)).select(key).collect()]
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Inner join of many rows with one small row a key; the given hot keys (few) go by broadcast."""
-    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
-    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key)
-    return left.join(few, key).unionByName(rest)
+def split_join(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
+    """Inner join of many rows with one small row a key: the given hot keys (fewer than 2,000) by broadcast of
+    their right rows, the rest by a shuffle."""
+    few = left.where(left[key].isin(hot)).join(F.broadcast(right.where(right[key].isin(hot))), key)
+    return few.unionByName(left.where(~left[key].isin(hot)).join(right, key))
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, count: str | None = None) -> DataFrame:
@@ -98,5 +97,4 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, count: str | None = N
     `right` has a column with the number of left rows of each key, `count` names it."""
     if count:
         return split_join(left, right.drop(count), key, hot_of(right, key, count))
-    hot = left.sparkSession.createDataFrame(hot_keys(left, key).collect(), left.select(key).schema)
-    return split_join(left, right, key, hot)
+    return split_join(left, right, key, [r[0] for r in hot_keys(left, key).collect()])

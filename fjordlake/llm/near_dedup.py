@@ -273,7 +273,7 @@ def _spanning(threshold: tuple[int, int]):
     return run
 
 
-def _stars(member: DataFrame, sets: DataFrame, hot: DataFrame, threshold: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _stars(member: DataFrame, sets: DataFrame, hot: list, threshold: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(links (u, v), member with roots) after a few rounds of stars. Members of one root are connected; what
     is connected may still have several roots."""
     over, of = threshold
@@ -303,7 +303,7 @@ def _stars(member: DataFrame, sets: DataFrame, hot: DataFrame, threshold: tuple[
     return edges, at
 
 
-def _residual(at: DataFrame, sets: DataFrame, hot: DataFrame, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
+def _residual(at: DataFrame, sets: DataFrame, hot: list, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Links (u, v) between components that share a bucket: all pairs that exact bounds leave are compared."""
     over, of = threshold
     mixed = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
