@@ -336,8 +336,9 @@ def _residual(at: DataFrame, sets: DataFrame, hot: list, threshold: tuple[int, i
     return scratch.write(dealt.groupBy("bucket", "i", "j").applyInArrow(_spanning(threshold), "u long, v long"), "links-last")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, slots: int = SLOTS, rows: int = ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row a document."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, slots: int = SLOTS, rows: int = ROWS, with_mark: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row a document; with_mark puts the xxhash64 of the text
+    behind doc_id, which tells rows of one id apart."""
     scratch = scratch or Scratch(docs.sparkSession, "near")
     docs = keyed_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     signed = scratch.write(signatures(docs, size, slots, rows), "signed")
@@ -356,8 +357,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select("k", "node", "least").join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     ids = scratch.write(skew_join(named.select("node", "root"), by_root, "root", "n").select("node", "component_id"), "ids")
-    some = skew_join(signed.where("node IS NOT NULL").select("doc_id", "n_shingles", "node"), ids, "node").select("doc_id", "n_shingles", "component_id")
-    none = signed.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = ["doc_id", *["mark"] * with_mark, "n_shingles"]
+    some = skew_join(signed.where("node IS NOT NULL").select(*own, "node"), ids, "node").select(*own, "component_id")
+    none = signed.where("node IS NULL").select(*own, F.col("doc_id").alias("component_id"))
     return some.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
