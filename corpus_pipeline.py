@@ -11,8 +11,8 @@ but the last return the columns of documents:
 4. decontaminate: documents that the contamination rule names go.
 5. bpe_codec: token ids of what is left, with digests and the check that decoding gives the words back.
 
-Rows with a null id are kept by stages 2 to 4, null and empty texts by all; rows that share an id share
-the fate of that id in stages 2 and 4.
+Rows with a null id are kept by stages 2 to 4, null and empty texts by all; rows that share an id are
+judged each by its own text, so equal rows share their fate.
 """
 
 from __future__ import annotations
@@ -34,9 +34,15 @@ def toxicity(spark, docs, sf_dir):
     return scored.where(F.col("_score") < THRESHOLD).drop("_score")
 
 
+def _without(docs, gone):
+    """docs without the rows that gone (doc_id, mark) names: mark is the xxhash64 of the text."""
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()
+    own = (docs["doc_id"].cast("long") == gone["_gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_gone_mark"])
+    return docs.join(gone, own, "left_anti")
+
+
 def near_dedup(spark, docs, sf_dir):
-    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, near_duplicates(docs, with_mark=True).where("NOT kept AND doc_id IS NOT NULL"))
 
 
 def substring_dedup(spark, docs, sf_dir):
@@ -45,8 +51,8 @@ def substring_dedup(spark, docs, sf_dir):
 
 
 def decontaminate(spark, docs, sf_dir):
-    bad = judged(contamination(docs, table(spark, sf_dir, "benchmark"))).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = judged(contamination(docs, table(spark, sf_dir, "benchmark"), with_text=True)).where("contaminated AND doc_id IS NOT NULL")
+    return _without(docs, bad.select("doc_id", F.xxhash64("text").alias("mark")))
 
 
 def bpe_codec(spark, docs, sf_dir):
