@@ -34,6 +34,7 @@ WORDS, GRAMS, EVIDENCE, LENGTHS = 1 << 13, 1 << 15, 1 << 20, (3, 5, 7)
 PER_CLASS, EPOCHS, LEAST_STEPS, BATCH, RATE = 1500, 12, 200, 64, 0.01
 THRESHOLD = 0.3
 CACHE = 150_000
+PIECE = 1 << 13
 SIZE = 2 * DIM + 2
 
 
@@ -54,11 +55,18 @@ class Coded:
     """Hashes of words and of their n-grams (bytes of ^word$), laid end to end."""
 
     def __init__(self, words: list[str]) -> None:
+        parts = [self._piece(words[k : k + PIECE]) for k in range(0, max(1, len(words)), PIECE)]
+        self.word, self.grams, self.size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.cut = np.cumsum(self.size) - self.size
+
+    @staticmethod
+    def _piece(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word hashes, n-gram hashes, n-grams of each word) of some words; what it takes is bounded by PIECE."""
         marked = [b"^" + w.strip(_PUNCTUATION).encode() + b"$" for w in words]
         size = np.array([len(w) for w in marked], np.int64)
         text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
         begin = np.cumsum(size) - size
-        self.word = np.array([zlib.crc32(w) & (EVIDENCE - 1) for w in marked], np.int64)
+        word = np.array([zlib.crc32(w) & (EVIDENCE - 1) for w in marked], np.int64)
         owner, of, at = np.repeat(np.arange(len(words)), size), [], []
         last = np.repeat(begin + size, size)
         for k in LENGTHS:
@@ -76,8 +84,7 @@ class Coded:
         at.append(np.zeros(len(short), np.int64))
         of, at = np.concatenate(of), np.concatenate(at)
         order = np.argsort(of, kind="stable")
-        self.grams, self.size = at[order], np.bincount(of, minlength=len(words))
-        self.cut = np.cumsum(self.size) - self.size
+        return word, at[order].astype(np.int32), np.bincount(of, minlength=len(words))
 
     def evidence(self, word_lo: np.ndarray, gram_lo: np.ndarray) -> np.ndarray:
         return np.stack([word_lo[self.word], np.maximum.reduceat(gram_lo[self.grams], self.cut)], 1) / np.float32(3)
@@ -236,9 +243,8 @@ def gradient(p: dict, x: np.ndarray, idx: np.ndarray, y: np.ndarray) -> tuple[di
 def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> dict:
     """Parameters from labelled texts; the same texts give the same parameters."""
     r = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
     number: dict[str, int] = {}
-    index = [np.array([number.setdefault(w, len(number)) for w in d], np.int64) for d in docs]
+    index = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
     coded = Coded([*number, ""])
     total, n = len(number) + 1, np.bincount(y, minlength=2)
     seen = np.zeros((2, EVIDENCE), np.int32), np.zeros((2, EVIDENCE), np.int32)
@@ -251,10 +257,10 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, rate: float = R
     index = [x + label * total for x, label in zip(index, y, strict=True)]  # a row for each word and own class
     rows_of = lambda used: np.concatenate([np.zeros((1, SIZE), np.float32), np.concatenate([coded.embedded(p, used % total), own[used]], 1)])
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items() if k not in ("words", "grams", "word_lo", "gram_lo")}
-    step, chosen = 0, [None] * len(docs)
-    epochs = max(epochs, -(-LEAST_STEPS // -(-len(docs) // BATCH)))
+    step, chosen = 0, [None] * len(index)
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(index) // BATCH)))
     for epoch in range(epochs):
-        order = r.permutation(len(docs))
+        order = r.permutation(len(index))
         pace = rate * (1 - epoch / epochs)
         for k in range(0, len(order), BATCH):
             batch = order[k : k + BATCH]

@@ -611,3 +611,11 @@ def test_toxicity_gradient():
         slope = (up - loss()) / 2e-3
         p[name][i] = old
         assert abs(slope - grad[i]) < 1e-5
+
+
+def test_coded_words_are_the_same_by_pieces(monkeypatch):
+    words = [f"w{k}" * (k % 5) for k in range(100)] + [""]
+    whole = toxicity.Coded(words)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    parts = toxicity.Coded(words)
+    assert all((getattr(whole, x) == getattr(parts, x)).all() for x in ("word", "grams", "size", "cut"))
