@@ -90,7 +90,7 @@ class Parsed:
         return out
 
     def _choose(self, rounds: list) -> None:
-        open_ = self.whole.copy()
+        open_, n = self.whole.copy(), len(self.words)
         for name, cs, ce in reversed(rounds):
             fit = ce - cs <= self.window
             name, cs, ce = name[fit], cs[fit], ce[fit]
@@ -99,7 +99,9 @@ class Parsed:
             w = np.flatnonzero(open_)
             if not len(w):
                 return
-            lo, hi = np.searchsorted(cs, w, side="left"), np.searchsorted(ce, w + self.window, side="right")
+            # contexts that begin before w, and those that end by w + window: both ends rise with the symbols
+            lo = np.concatenate([[0], np.cumsum(np.bincount(cs, minlength=n + 1))])[w]
+            hi = np.cumsum(np.bincount(ce, minlength=n + 1))[w + self.window]
             some = hi > lo
             w, lo, hi = w[some], lo[some], hi[some]
             best = name[lo] if len(lo) else lo
@@ -112,16 +114,31 @@ class Parsed:
             open_[w] = False
 
     def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A long and an int for the words of each window: a polynomial in two bases."""
+        """A long and an int for the words of each window: a polynomial in two bases, put together from those of
+        1, 2, 4, ... words."""
         out = []
-        for base in (_A, _B):
-            h = np.zeros(len(at), np.uint64)
-            for k in range(self.window):
-                h = h * base + self.words[at + k]
-            out.append(mix(h))
+        for base in (int(_A), int(_B)):
+            h, held, run, size, left = np.zeros(len(self.words), np.uint64), 0, self.words, 1, self.window
+            while True:
+                if left & 1:
+                    h = run * np.uint64(pow(base, held, 1 << 64)) + _ahead(h, size)
+                    held += size
+                left >>= 1
+                if not left:
+                    break
+                run = run * np.uint64(pow(base, size, 1 << 64)) + _ahead(run, size)
+                size *= 2
+            out.append(mix(h[at]))
         return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _ahead(x: np.ndarray, k: int) -> np.ndarray:
+    """x from place k on, then zeros."""
+    out = np.zeros_like(x)
+    out[: max(0, len(x) - k)] = x[k:]
+    return out
+
+
 def _words(text: bytes) -> list[bytes]:
     return text.split()
 

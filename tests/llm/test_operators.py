@@ -619,3 +619,12 @@ def test_coded_words_are_the_same_by_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE", 7)
     parts = toxicity.Coded(words)
     assert all((getattr(whole, x) == getattr(parts, x)).all() for x in ("word", "grams", "size", "cut"))
+
+
+def test_window_hashes_are_polynomials_of_all_words():
+    p = substring_dedup.Parsed([[b"%d" % (k % 90) for k in range(400)], [b"a"] * 60])
+    at = np.flatnonzero(p.whole)
+    h = np.zeros(len(at), np.uint64)
+    for k in range(50):
+        h = h * substring_dedup._A + p.words[at + k]
+    assert (p.hashes(at)[0].view(np.uint64) == near_dedup.mix(h)).all()
