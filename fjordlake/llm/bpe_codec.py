@@ -30,6 +30,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from .common import keyed_text, table
 
 TOKENIZER = "word_bpe_49k.json"
-CACHE, BLOCK = 120_000, 4096
+CACHE, BLOCK = 240_000, 4096
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # str.split() takes these as white space, the pattern doesn't
 
@@ -97,7 +98,7 @@ class Merges:
         rank = self.rank.get
         none = len(self.rank)
         s = symbols
-        r = [rank(p, none) for p in zip(s, s[1:])]
+        r = list(map(rank, zip(s, s[1:]), repeat(none)))
         while r:
             low = min(r)
             if low == none:
@@ -111,19 +112,21 @@ class Merges:
                 r[i - 1] = rank((s[i - 1], s[i]), none)
         return s
 
+    @property
+    def hold(self) -> int:
+        """The symbols that the buffer holds."""
+        return 4 * self.lookahead + 16
+
     def stream(self, symbols: Iterator[str]) -> Iterator[str]:
-        """Tokens of a run of any length; at most a few lookaheads of symbols are held."""
-        hold, buffer, ended = 4 * self.lookahead + 16, [], False
+        """Tokens of a run of any length; at most a few lookaheads of symbols are held. A run that ends within
+        the buffer is merged at once."""
+        hold, buffer = self.hold, []
         while True:
-            while not ended and len(buffer) < hold:
-                x = next(symbols, None)
-                if x is None:
-                    ended = True
-                else:
-                    buffer.append(x)
-            if not buffer:
+            buffer += islice(symbols, hold - len(buffer))
+            if len(buffer) < hold:
+                yield from self.merge(buffer)
                 return
-            done, stable = 0, len(buffer) if ended else len(buffer) - self.lookahead
+            done, stable = 0, len(buffer) - self.lookahead
             for token in self.merge(buffer.copy()):
                 if done + self._size(token) > stable:
                     break
@@ -174,9 +177,11 @@ class Codec:
         self.chunks = re.compile(f"[^{_SPACE}]+")
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
+        self.spelled = {b: c for b, c in enumerate(self.letters) if c != chr(b)}
         self._known: dict[str, tuple[tuple[int, ...], str]] = {}
         self._old: dict[str, tuple[tuple[int, ...], str]] = {}
         self._short: dict[str, tuple[int, ...]] = {}
+        self._rare: dict[str, tuple[int, ...]] = {}
         self.piece = {t: bytes(self.bytes_of[c] for c in t.removesuffix(self.merges.suffix)) for t in self.vocab}
         # by id: its digits, its token, its bytes with the space behind a word's end
         self.ends = {i for i, t in self.tokens.items() if t in self.specials or t.endswith(self.merges.suffix)}
@@ -244,13 +249,21 @@ class Codec:
         return "".join(out) + state.end()
 
     def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of a word through the transducer; those of short words are kept."""
+        """Ids of a word through the transducer; those of short words are kept while they recur."""
         got = self._short.get(word)
         if got is None:
-            got = tuple([self.vocab[t] for t in self.word_tokens(word)])
+            got = self._rare.get(word)
+            if got is None:
+                data = word.encode()
+                if len(data) < self.merges.hold:  # spelled in one go
+                    run = list(data.decode("latin-1").translate(self.spelled))
+                    run[-1] += self.merges.suffix
+                    got = tuple(map(self.vocab.__getitem__, self.merges.stream(iter(run))))
+                else:
+                    got = tuple([self.vocab[t] for t in self.word_tokens(word)])
             if len(word) <= 64:
                 if len(self._short) >= CACHE:
-                    self._short.clear()
+                    self._rare, self._short = self._short, {}
                 self._short[word] = got
         return got
 

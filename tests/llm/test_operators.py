@@ -637,3 +637,16 @@ def test_few_unwanted_texts_are_shuffled(spark):
     left = {r[0] for r in near_dedup._maybe_named(docs, wanted).select("row_id").collect()}
     assert set(range(0, 20_000, 7)) <= left and len(left) < 2858 + 17_142 // 8
     assert near_dedup._maybe_named(docs, wanted.limit(0)).isEmpty()
+
+
+def test_words_beyond_the_cache_are_merged_once_while_they_recur(monkeypatch):
+    """Words that recur stay known when many others pass by."""
+    monkeypatch.setattr(bpe_codec, "CACHE", 50)
+    c = bpe_codec.Codec(bpe_codec.tokenizer_path())
+    streamed, stream = [], c.merges.stream
+    monkeypatch.setattr(c.merges, "stream", lambda symbols: stream(iter(streamed.append("".join(s := list(symbols))) or s)))
+    for k in range(40):
+        c._word("often")
+        for j in range(20):
+            c._word(f"rare{k}x{j}")
+    assert streamed.count("often</w>") == 1 and max(len(c._short), len(c._rare)) <= 50
