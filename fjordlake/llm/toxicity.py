@@ -9,7 +9,8 @@ its highest window's (the window that training learns from, too). The logit is s
 sample's balance to that of all labelled rows.
 
 Training sample: at most `per_class` labelled documents of each class (in the order of a hash of their
-id), a fixed bound on what the driver holds. `labels` gives the classes and nothing else enters.
+id), a fixed bound on what the task that trains holds; the driver gets the parameters. `labels` gives the
+classes and nothing else enters.
 
 Defined cases: null, empty and wordless texts score 0; labels that are null or name
 no document teach nothing, a document labelled twice counts as its higher label; without any label of
@@ -18,6 +19,7 @@ one class the score is that class's absence (0.0 or 1.0 for all); repeated rows
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -323,8 +325,8 @@ def blocks(got: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
         yield run
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
-    """(doc_id, text, label) of at most per_class documents a class, and the count of each label."""
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of at most per_class documents a class, and the count of each label."""
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -332,9 +334,30 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     for label in (0, 1):
         ids += known.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
     few = spark.createDataFrame(ids, "doc_id long, y int")
-    # an id that stands in several rows teaches by its least text, so the driver holds one row an id
+    # an id that stands in several rows teaches by its least text, so one row an id is held
     rows = docs.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    return sorted((r.doc_id, r.text, r.y) for r in rows.collect()), counts
+    return rows.select("doc_id", "text", "y"), counts
+
+
+def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, shape, data) of each parameter that a sample (doc_id, text, y) teaches; first the count of each label."""
+    sample = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    y = np.array([r[2] for r in sample], dtype=np.int64).reshape(-1)
+    n = np.bincount(y, minlength=2)
+    yield pa.RecordBatch.from_pylist([{"name": "", "shape": n.tolist(), "data": b""}], _LEARNT)
+    for name, x in (train([r[1] for r in sample], y) if n.all() else {}).items():
+        yield pa.RecordBatch.from_pylist([{"name": name, "shape": list(x.shape), "data": x.astype(np.float32).tobytes()}], _LEARNT)
+
+
+_LEARNT = pa.schema([("name", pa.string()), ("shape", pa.list_(pa.int64())), ("data", pa.binary())])
+
+
+def learnt(sample: DataFrame) -> tuple[list[int], dict]:
+    """(documents of each label in the sample, parameters). A task trains on the sample, whose size is bounded, so
+    the driver holds parameters (about 10 MB) and no texts."""
+    rows = {r["name"]: r for r in sample.coalesce(1).mapInArrow(learn, "name string, shape array<long>, data binary").collect()}
+    p = {k: np.frombuffer(bytes(r["data"]), np.float32).reshape(r["shape"]) for k, r in rows.items() if k}
+    return list(rows[""]["shape"]) if rows else [0, 0], p
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_id="doc_id", label_col="toxic", held_out=None, per_class: int = PER_CLASS, with_row: bool = False) -> DataFrame:
@@ -345,12 +368,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
     if held_out is not None:
         mine = mine.where(~held_out)
     sample, counts = training_sample(keyed_text(docs, id_col, text_col), mine, per_class)
-    y = np.array([r[2] for r in sample], dtype=np.int64).reshape(-1)
-    both = len(set(y.tolist())) == 2
-    p = train([r[1] for r in sample], y) if both else {}
-    shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))) if both else 0.0
-    constant = 1.0 if len(y) and y.all() else 0.0
-    shared, key = spark.sparkContext.broadcast(p), f"{id(p)}-{len(sample)}-{spark.sparkContext.applicationId}"
+    n, p = learnt(sample)
+    both = all(n)
+    shift = float(np.log(counts[1] / counts[0]) - np.log(n[1] / n[0])) if both else 0.0
+    constant = 1.0 if n[1] and not n[0] else 0.0
+    shared, key = spark.sparkContext.broadcast(p), f"{uuid.uuid4()}-{spark.sparkContext.applicationId}"
+    del p
     source = docs if with_row else keyed_text(docs, id_col, text_col)
     at = source.columns.index(text_col if with_row else "text")
     name = "_score" if with_row else "score"

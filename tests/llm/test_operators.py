@@ -589,6 +589,19 @@ def test_toxicity(spark):
     assert wide.columns == ["doc_id", "text", "_score"]
 
 
+def test_the_driver_holds_no_training_texts(spark, monkeypatch):
+    """A task trains; what the driver collects are ids, counts and parameters."""
+    docs = spark.createDataFrame([(k, f"w{k} {'vile' if k % 2 else 'fine'}") for k in range(20)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    frame, seen = type(docs), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: seen.append(df.columns) or collect(df))
+    monkeypatch.setattr(toxicity, "train", lambda *_: pytest.fail("the driver trains"))
+    scored = toxicity.score_toxicity(docs, known)
+    assert seen and not any("text" in c for c in seen)
+    assert {r.doc_id for r in scored.where("score >= 0.5").collect()} == set(range(1, 20, 2))
+
+
 def test_toxicity_gradient():
     r = np.random.default_rng(0)
     p = toxicity.fresh_parameters(np.zeros(toxicity.EVIDENCE, np.float32), np.zeros(toxicity.EVIDENCE, np.float32))
