@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed_text, table
+from .common import begin, keyed_text, table, worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE, BLOCK = 240_000, 4096
@@ -335,7 +335,7 @@ class Decoder:
         return self.utf8.decode(b"", True)
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = worker_cache("bpe_codec")
 
 
 def codec(path: str) -> Codec:
@@ -349,6 +349,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col="doc_id", text
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe_codec")
         c = codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -364,6 +365,7 @@ def decode_ids(encoded: DataFrame, path: str | None = None, id_col="doc_id", ids
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe_codec")
         c = codec(path)
         for b in batches:
             ids = [x or [] for x in b.column(1).to_pylist()]
@@ -378,6 +380,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col="doc_id", text_col=
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe_codec")
         c = codec(path)
         for batch, at in ((x, k) for x in batches for k in range(0, x.num_rows, 500)):
             b = batch.slice(at, 500)

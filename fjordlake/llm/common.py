@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -37,6 +39,29 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
+_kept: dict[str, list[dict]] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict that a Python worker keeps from one task of an operator to the next."""
+    _kept.setdefault(owner, []).append(cache := {})
+    return cache
+
+
+def begin(owner: str = "") -> None:
+    """At a task's start: what other operators keep in this worker goes, and free memory goes back to the system.
+    Spark hands its workers on from stage to stage, so one would gather the caches of all operators it has served."""
+    others = [cache for name, caches in _kept.items() if name != owner for cache in caches if cache]
+    for cache in others:
+        cache.clear()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: each stage is computed once, survives the
     loss of executors, and can be dropped as soon as nothing reads it any more."""

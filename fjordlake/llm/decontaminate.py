@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed_text, table, texts
+from .common import Scratch, begin, keyed_text, table, texts
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -146,6 +146,7 @@ def _scan(docs: DataFrame, items: ItemSet, extra: list[str]) -> DataFrame:
     at = [docs.columns.index(x) for x in extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 b = batch.slice(k, 1000)

@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, skew_join
+from .common import Scratch, begin, skew_join
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's edges as stars around each local component's least node."""
+    begin()
     up: dict = {}
     kind = None
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hot_keys, keyed_text, skew_join, table, texts, with_mark
+from .common import Scratch, begin, hot_keys, keyed_text, skew_join, table, texts, with_mark
 from .near_dedup import mix, word_hashes
 
 WINDOW, ROUNDS = 50, 9
@@ -158,6 +158,7 @@ def _blocks(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBat
 
 def _names(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             for b in _blocks(batch):
                 p = Parsed([_words(t) for t in texts(b)], window, rounds)
@@ -174,6 +175,7 @@ def _windows(window: int, rounds: int):
     """Of (doc_id, text, mark, names): the windows whose representative is among the names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             for b in _blocks(batch):
                 p = Parsed([_words(t) for t in texts(b)], window, rounds)
@@ -191,6 +193,7 @@ def _cut(window: int, with_text: bool):
     """Of (doc_id, text, starts): words, removed words, and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             for b in _blocks(batch):
                 n, gone, left = [], [], []
@@ -236,6 +239,7 @@ def _kept_rows(window: int, at: int):
     """Rows with, behind their columns, removal starts: the text at column `at` without the removed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for b in batches:
             left = []
             for t, starts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import keyed_text, strings, table
+from .common import begin, keyed_text, strings, table, worker_cache
 
 WINDOW, STRIDE, HIDDEN, DIM = 48, 24, 8, 6
 WORDS, GRAMS, EVIDENCE, LENGTHS = 1 << 13, 1 << 15, 1 << 20, (3, 5, 7)
@@ -293,7 +293,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, rate: float = R
     return p
 
 
-_features: dict[str, Features] = {}
+_features: dict[str, Features] = worker_cache("toxicity")
 
 
 def worker_features(key: str, p: dict) -> Features:
@@ -341,6 +341,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
 
 def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(name, shape, data) of each parameter that a sample (doc_id, text, y) teaches; first the count of each label."""
+    begin("toxicity")
     sample = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
     y = np.array([r[2] for r in sample], dtype=np.int64).reshape(-1)
     n = np.bincount(y, minlength=2)
@@ -380,6 +381,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
     schema = StructType([*source.schema.fields, StructField(name, DoubleType())]) if with_row else "doc_id long, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         feats = worker_features(key, shared.value) if both else None
         for b in batches:
             got = strings(b, at)

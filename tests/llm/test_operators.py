@@ -10,12 +10,13 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fjordlake.llm import bpe_codec, decontaminate, license_scan, media, near_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 from fjordlake.llm.common import Scratch
-from fjordlake.llm.graph import components
+from fjordlake.llm.graph import _contract, components
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -677,3 +678,19 @@ def test_words_beyond_the_cache_are_merged_once_while_they_recur(monkeypatch):
         for j in range(20):
             c._word(f"rare{k}x{j}")
     assert streamed.count("often</w>") == 1 and max(len(c._short), len(c._rare)) <= 50
+
+
+def test_a_python_worker_holds_the_caches_of_one_operator():
+    tasks = {
+        "classes": lambda: near_dedup._spanning((75, 100))(pa.table({"k": [1], "size": [1], "left": [True], "root": [1], "terms": pa.array([[5]], pa.list_(pa.int64()))})),
+        "edges": lambda: list(_contract(iter([]))),
+        "passages": lambda: list(substring_dedup._names(50, 9)(iter([]))),
+        "sample": lambda: list(toxicity.learn(iter([]))),
+    }
+    for name, task in tasks.items():
+        bpe_codec.codec(bpe_codec.tokenizer_path())
+        toxicity.worker_features("a job", {})
+        task()
+        assert not bpe_codec._codecs, name
+        assert bool(toxicity._features) == (name == "sample"), name  # an operator's own cache goes on to its next task
+    toxicity._features.clear()
